@@ -1 +1,122 @@
-"""Named queries; see registry."""
+"""Named queries of pairwise operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.functions.text import edit_ratio, tokens
+from lodestrata.operators import pairs as P
+from lodestrata.plans.registry import register
+from lodestrata.tables import load
+
+_V = "v AS (SELECT l_partkey AS k, l_linenumber AS t, l_orderkey AS source, l_suppkey, max(l_discount) * 1000 AS x, max(l_extendedprice) AS y, min(l_orderkey * 1000 + l_suppkey) AS id FROM lineitem GROUP BY ALL)"
+
+
+def values(spark, d):
+    return load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("t"), F.col("l_orderkey").alias("source"), "l_suppkey").agg(
+        (F.max("l_discount") * 1000).alias("x"), F.max("l_extendedprice").alias("y"), F.min(F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("id")
+    )
+
+
+@register("numeric_conflicts", f"WITH {_V} SELECT a.id AS a_id, b.id AS b_id, round(abs(a.x - b.x), 6) AS diff FROM v a JOIN v b ON a.k = b.k AND a.t = b.t AND a.id < b.id AND a.source <> b.source AND abs(a.x - b.x) >= 20")
+def numeric_conflicts(spark, d):
+    return P.numeric_conflicts(values(spark, d), ["k", "t"], "id", "source", "x").select("a_id", "b_id", "diff")
+
+
+@register("relative_conflicts", f"WITH {_V} SELECT a.id AS a_id, b.id AS b_id, round(abs(a.y - b.y) / greatest(abs(a.y), abs(b.y), 1) * 100, 6) AS percent FROM v a JOIN v b ON a.k = b.k AND a.t = b.t AND a.id < b.id AND a.source <> b.source AND abs(a.y - b.y) / greatest(abs(a.y), abs(b.y), 1) * 100 >= 20")
+def relative_conflicts(spark, d):
+    return P.relative_conflicts(values(spark, d), ["k", "t"], "id", "source", "y").select("a_id", "b_id", "percent")
+
+
+@register("candidate_pairs_capped", """
+WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents), m AS (SELECT * FROM r WHERE rn <= 100), p AS (SELECT a.lang, a.doc_id AS a_id, b.doc_id AS b_id, row_number() OVER (PARTITION BY a.lang ORDER BY a.doc_id, b.doc_id) AS rn FROM m a JOIN m b ON a.lang = b.lang AND a.doc_id < b.doc_id AND a.source <> b.source)
+SELECT lang, a_id, b_id FROM p WHERE rn <= 500""")
+def candidate_pairs_capped(spark, d):
+    return P.candidate_pairs(load(spark, d, "documents"), ["lang"], "doc_id", "source").select(F.col("a_lang").alias("lang"), "a_id", "b_id")
+
+
+@register("pair_estimate", "WITH c AS (SELECT lang, source, count(*) AS k FROM documents GROUP BY ALL) SELECT lang, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_sources, CAST((sum(k) * sum(k) - sum(k * k)) // 2 AS BIGINT) AS pairs, CAST(least((sum(k) * sum(k) - sum(k * k)) // 2, 20) AS BIGINT) AS capped FROM c GROUP BY lang")
+def pair_estimate(spark, d):
+    return P.pair_estimate(load(spark, d, "documents"), ["lang"], "source").withColumn("capped", F.col("capped").cast("long"))
+
+
+@register("viewfree_candidates", "WITH g AS (SELECT p_name, p_type, count(DISTINCT p_brand) AS n FROM part GROUP BY ALL) SELECT a.p_partkey AS a_id, b.p_partkey AS b_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand JOIN g ON g.p_name = a.p_name AND g.p_type = a.p_type WHERE n >= 2 AND a.p_type IN ('ECONOMY', 'SMALL') AND a.p_name NOT LIKE 'hot %'")
+def viewfree_candidates(spark, d):
+    p = load(spark, d, "part").filter(F.col("p_type").isin("ECONOMY", "SMALL") & ~F.startswith("p_name", F.lit("hot ")))
+    a, b, on = P.self_pairs(p, ["p_name", "p_type"], "p_partkey", ["p_brand"])
+    return a.join(b, on & (F.col("a_p_brand") != F.col("b_p_brand"))).select("a_id", "b_id")
+
+
+@register("opposing_cues", "SELECT event_id, CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 2 ELSE 0 END AS score FROM events")
+def opposing_cues(spark, d):
+    kind = F.col("event_type")
+    a = F.when(kind == "view", "A high yield").when(kind == "click", "an effective and beneficial step").otherwise("improved")
+    b = F.when(kind == "view", "The LOW yield.").when(kind == "click", "poor, detrimental").otherwise("nothing")
+    return load(spark, d, "events").select("event_id", P.cue_conflict(a, b).alias("score"))
+
+
+@register("stored_conflicts", "WITH c AS (SELECT event_id AS a_id, event_id + 9990 AS b_id, value FROM events WHERE event_id < 50) SELECT a_id, b_id, c.value, a.event_type AS a_event_type, b.event_type AS b_event_type FROM c LEFT JOIN events a ON a.event_id = a_id LEFT JOIN events b ON b.event_id = b_id ORDER BY value DESC, a_id LIMIT 30")
+def stored_conflicts(spark, d):
+    e = load(spark, d, "events")
+    c = e.filter("event_id < 50").select(F.col("event_id").alias("a_id"), (F.col("event_id") + 9990).alias("b_id"), "value")
+    return P.stored_conflicts(c, e, "event_id", ["event_type"]).select("a_id", "b_id", "value", "a_event_type", "b_event_type").orderBy(F.desc("value"), "a_id").limit(30)
+
+
+@register("surprise_score", """
+WITH n AS (SELECT p_type, p_name, count(*) AS sib FROM part GROUP BY ALL), p AS (SELECT p_partkey, p.p_type, p_size, sib FROM part p JOIN n ON p.p_type = n.p_type AND p.p_name = n.p_name),
+s AS (SELECT p_partkey, least(CASE WHEN sib <= 3 THEN 10 WHEN sib <= 10 THEN 5 ELSE 0 END + CASE p_type WHEN 'SMALL' THEN 10 WHEN 'LARGE' THEN 5 ELSE 0 END + CASE WHEN p_size * 3 > 99 THEN 5 WHEN p_size * 3 < 10 THEN 8 ELSE 0 END, 40) AS structural, CASE WHEN 1990 + p_size % 30 >= 2019 THEN 15 WHEN 1990 + p_size % 30 >= 2018 THEN 10 WHEN 1990 + p_size % 30 >= 2017 THEN 5 ELSE 0 END AS temporal FROM p)
+SELECT p_partkey, structural, temporal, 5 AS content, structural + temporal + 5 AS surprise FROM s""")
+def surprise_score(spark, d):
+    p = load(spark, d, "part")
+    sib = p.groupBy("p_type", "p_name").agg(F.count("*").alias("sib"))
+    rows = p.join(sib, ["p_type", "p_name"])
+    kind = F.when(F.col("p_type") == "SMALL", "limitation").when(F.col("p_type") == "LARGE", "future_direction").otherwise("property")
+    out = P.surprise(rows, [F.col("sib")], kind, F.col("p_size") * 3, 1990 + F.col("p_size") % 30, 2019, F.lit("a Novel class"))
+    return out.select("p_partkey", "structural", "temporal", "content", "surprise")
+
+
+_W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+@register("jaccard_near_dupes", f"""
+WITH t AS (SELECT doc_id, source, list_distinct({_W}) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS x, len(b.w) AS y FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0)
+SELECT a, b, round(n::DOUBLE / (x + y - n), 6) AS jaccard FROM p WHERE n::DOUBLE / (x + y - n) >= 0.8""")
+def jaccard_near_dupes(spark, d):
+    return P.token_pairs(load(spark, d, "documents"), "doc_id", tokens(F.col("text")), "source", 0.8)
+
+
+@register("benchmark_overlap", "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM documents, benchmark WHERE contains(documents.text, benchmark.text) GROUP BY 1")
+def benchmark_overlap(spark, d):
+    """Documents that hold an item as it is: looked up by the item's first forty characters' words, then tested whole."""
+    items = load(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    first = lambda c: F.split(c, r"[ \n]+")
+    keyed = items.withColumn("key", F.array_join(F.slice(first(F.col("item")), 2, 4), " "))
+    w = load(spark, d, "documents").select("doc_id", "text", first(F.col("text")).alias("w")).filter(F.size("w") >= 4)
+    at = w.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
+    return at.join(keyed, "key").filter(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+@register("bit_tanimoto", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(bit_count(a.p_partkey & b.p_partkey)::DOUBLE / bit_count(a.p_partkey | b.p_partkey), 6) AS similarity FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 500 AND b.p_partkey < 500 AND bit_count(a.p_partkey & b.p_partkey)::DOUBLE / bit_count(a.p_partkey | b.p_partkey) >= 0.3")
+def bit_tanimoto(spark, d):
+    p = load(spark, d, "part").filter("p_partkey < 500")
+    a, b, on = P.self_pairs(p, ["p_name"], "p_partkey", [])
+    s = P.bit_tanimoto(F.col("a_id"), F.col("b_id"))
+    return a.join(b, on & (s >= 0.3)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(s, 6).alias("similarity"))
+
+
+@register("greedy_match")
+def greedy_match(spark, d):
+    """Greedy one-to-one matches depend on order; tests compare a plain loop."""
+    p = load(spark, d, "part").select("p_type", "p_partkey", "p_name", "p_size").filter("p_partkey <= 200")
+    gold = p.filter("p_size % 2 = 0").select(F.col("p_type").alias("doc"), F.col("p_partkey").alias("gold"), F.col("p_name").alias("g"))
+    found = p.filter("p_size % 2 = 1").select(F.col("p_type").alias("doc"), F.col("p_partkey").alias("found"), F.col("p_name").alias("f"))
+    scored = gold.join(found, "doc").withColumn("score", F.round(0.7 * edit_ratio(F.col("g"), F.col("f")) + 0.3, 6))
+    return P.greedy_match(scored.filter("score >= 0.65").select("doc", "gold", "found", "score"), "doc")
+
+
+@register("field_accuracy", "WITH p AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'wrong' ELSE 'correct' END AS verdict FROM lineitem) SELECT verdict, count(*) AS n FROM p GROUP BY 1")
+def field_accuracy(spark, d):
+    q = F.col("l_quantity")
+    found = F.when(F.col("l_linenumber") % 3 == 0, q * 1.5).otherwise(q * 1.005)
+    v = P.field_accuracy(q.cast("string"), found.cast("string"), F.lit(0.0))
+    return load(spark, d, "lineitem").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))

@@ -1 +1,293 @@
-"""Named queries; see registry."""
+"""Named queries of taxonomy operators. Paths are part type / brand / name, or region / nation / segment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.operators import taxonomy as H
+from lodestrata.operators import vectors
+from lodestrata.plans.registry import register
+from lodestrata.tables import load
+
+_MAP = "x AS (SELECT p_partkey AS id, k AS depth, array_to_string([p_type, p_brand, p_name][1:k], '/') AS prefix FROM (SELECT *, unnest([1, 2, 3]) AS k FROM part))"
+_NODES = f"{_MAP}, nodes AS (SELECT prefix AS path, max(depth) AS level, count(*) AS total, count(*) FILTER (depth = 3) AS own, regexp_replace(prefix, '/?[^/]*$', '') AS parent FROM x GROUP BY prefix)"
+
+
+def members(spark, d):
+    return H.prefix_map(load(spark, d, "part"), "p_partkey", F.array("p_type", "p_brand", "p_name"))
+
+
+def nodes(spark, d):
+    return H.rollup(members(spark, d))
+
+
+@register("path_prefix_map", f"WITH {_MAP} SELECT 'default' AS view, id, prefix, CAST(depth AS INTEGER) AS depth, 3 AS full_depth FROM x")
+def path_prefix_map(spark, d):
+    return members(spark, d)
+
+
+@register("tree_rollup", f"WITH {_NODES}, s AS (SELECT prefix, CAST(sum(id) AS BIGINT) AS id_sum, count(*) AS n_sample FROM (SELECT prefix, id, row_number() OVER (PARTITION BY prefix ORDER BY id) AS rn FROM x) WHERE rn <= 100 GROUP BY 1) SELECT path, CAST(level AS INTEGER) AS level, parent, total, own, n_sample, id_sum FROM nodes JOIN s ON path = prefix")
+def tree_rollup(spark, d):
+    return nodes(spark, d).select("path", "level", "parent", "total", "own", F.size("sample_ids").cast("long").alias("n_sample"), F.aggregate("sample_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"))
+
+
+@register("tree_children", f"WITH {_NODES} SELECT path, total, EXISTS (SELECT 1 FROM nodes c WHERE c.parent = n.path) AS has_children FROM nodes n WHERE parent = 'ECONOMY'")
+def tree_children(spark, d):
+    return H.children(nodes(spark, d), "ECONOMY").select("path", "total", "has_children")
+
+
+@register("subtree_topn", f"WITH {_NODES} SELECT path, total FROM nodes WHERE parent = 'ECONOMY/Brand#2' ORDER BY total DESC, path LIMIT 10")
+def subtree_topn(spark, d):
+    return H.children(nodes(spark, d), "ECONOMY/Brand#2", 10).select("path", "total")
+
+
+@register("children_search", f"WITH {_NODES} SELECT path, total FROM nodes WHERE parent = 'ECONOMY/Brand#2' AND contains(lower(path), 'ring') ORDER BY total DESC, path LIMIT 5")
+def children_search(spark, d):
+    return H.search_children(nodes(spark, d), "ECONOMY/Brand#2", "Ring", 5).select("path", "total")
+
+
+@register("virtual_root", f"WITH {_NODES} SELECT '' AS path, CAST(sum(total) AS BIGINT) AS total FROM nodes WHERE level = 1 UNION ALL SELECT path, total FROM nodes WHERE path = 'SMALL'")
+def virtual_root(spark, d):
+    n = nodes(spark, d)
+    return H.node(n, "").select("path", "total").unionByName(H.node(n, "SMALL").select("path", "total"))
+
+
+@register("tree_expand", f"WITH {_NODES} SELECT path, CAST(level AS INTEGER) AS level, total FROM nodes WHERE (path = 'PROMO' OR starts_with(path, 'PROMO/')) AND level <= 2")
+def tree_expand(spark, d):
+    return H.expand(nodes(spark, d), "PROMO", 1).select("path", "level", "total")
+
+
+@register("claims_at_node", f"WITH {_MAP} SELECT DISTINCT id FROM x WHERE prefix = 'LARGE/Brand#2' ORDER BY id LIMIT 5 OFFSET 2")
+def claims_at_node(spark, d):
+    return H.claims_at(members(spark, d), "LARGE/Brand#2", 5, 2)
+
+
+@register("view_summary", f"WITH {_NODES} SELECT 'default' AS view, CAST(max(level) AS INTEGER) AS depth, count(*) AS n_nodes, CAST(sum(total) FILTER (level = 1) AS BIGINT) AS n_claims FROM nodes")
+def view_summary(spark, d):
+    return H.view_summary(nodes(spark, d))
+
+
+@register("rollup_by_cube", "SELECT p_type, p_brand, count(*) AS n, sum(p_retailprice) AS price FROM part GROUP BY ROLLUP (p_type, p_brand)")
+def rollup_by_cube(spark, d):
+    return load(spark, d, "part").rollup("p_type", "p_brand").agg(F.count("*").alias("n"), F.sum("p_retailprice").alias("price"))
+
+
+@register("node_match_score", f"""
+WITH {_NODES}, w AS (SELECT path, list_filter(regexp_split_to_array(regexp_replace(lower(path), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM nodes),
+h AS (SELECT path, w, CAST(list_contains(w, 'hot') AS INTEGER) + CAST(list_contains(w, 'ring') AS INTEGER) AS hits, CAST(contains(' ' || array_to_string(w, ' ') || ' ', ' hot ring ') AS INTEGER) AS bonus FROM w)
+SELECT path, round((hits + bonus)::DOUBLE / greatest(2, len(list_distinct(w))) + 0.1::DOUBLE * len(string_split(path, '/')), 6) AS score FROM h WHERE hits > 0 AND NOT (hits = 1 AND list_contains(w, 'ring')) ORDER BY score DESC, path LIMIT 10""")
+def node_match_score(spark, d):
+    """The names have no suffixes or plurals that the stemmer would strip ("economy" and the like stay)."""
+    n = nodes(spark, d)
+    return H.node_matches(n, ["hot", "ring"], ["ring"])
+
+
+_GEO = "e AS (SELECT r_name AS parent, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT n_name, n_name || '/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def geo(spark, d):
+    n = load(spark, d, "nation")
+    up = n.join(F.broadcast(load(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))  # nations: 25 rows
+    down = load(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("parent"), F.concat_ws("/", "n_name", "c_mktsegment").alias("child"))
+    return up.union(down).distinct()
+
+
+@register("subtree_recursive", f"WITH RECURSIVE {_GEO}, t AS (SELECT 'EUROPE' AS node, 0 AS level UNION ALL SELECT child, level + 1 FROM t JOIN e ON parent = node) SELECT node, CAST(min(level) AS INTEGER) AS level FROM t GROUP BY node")
+def subtree_recursive(spark, d):
+    return H.subtree(geo(spark, d), "EUROPE")
+
+
+@register("ancestor_chain", f"WITH RECURSIVE {_GEO}, t AS (SELECT r_name AS node, r_name AS chain FROM region UNION ALL SELECT child, chain || ' > ' || child FROM t JOIN e ON parent = node) SELECT node, chain FROM t")
+def ancestor_chain(spark, d):
+    return H.ancestors(geo(spark, d)).select("node", F.array_join("chain", " > ").alias("chain"))
+
+
+@register("node_papers", f"""
+WITH {_GEO}, o AS (SELECT c_nationkey, o_custkey, count(*) AS n, max(o_totalprice) AS cites FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT n_name AS node, o_custkey AS paper, n, cites FROM o JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' ORDER BY cites DESC, paper LIMIT 10""")
+def node_papers(spark, d):
+    o = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(load(spark, d, "nation").filter("n_name = 'NATION_3'")), F.col("c_nationkey") == F.col("n_nationkey"))  # one row
+    return o.groupBy(F.col("n_name").alias("node"), F.col("o_custkey").alias("paper")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("cites")).orderBy(F.desc("cites"), "paper").limit(10)
+
+
+@register("level_violations", f"WITH {_GEO}, r AS (SELECT r_name AS node, 1 AS rank FROM region UNION SELECT n_name, 2 + n_nationkey % 3 FROM nation) SELECT parent, child, a.rank AS parent_rank, b.rank AS child_rank, CASE WHEN b.rank <= a.rank THEN 'inversion' ELSE 'gap' END AS kind FROM e JOIN r a ON a.node = parent JOIN r b ON b.node = child WHERE b.rank <= a.rank OR b.rank - a.rank >= 2")
+def level_violations(spark, d):
+    r = load(spark, d, "region").select(F.col("r_name").alias("node"), F.lit(1).alias("rank")).union(load(spark, d, "nation").select("n_name", (2 + F.col("n_nationkey") % 3).cast("int")))
+    return H.level_violations(geo(spark, d), r).select("parent", "child", "parent_rank", "child_rank", "kind")
+
+
+@register("node_audit", "SELECT CAST(3 AS INTEGER) AS level, count(*) AS n, count(DISTINCT p_name) AS n_names FROM (SELECT DISTINCT p_type, p_brand, p_name FROM part)")
+def node_audit(spark, d):
+    """Depth histogram and repeated names of the leaves."""
+    leaves = nodes(spark, d).filter("level = 3").withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return leaves.groupBy("level").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
+
+
+@register("merge_by_name", f"""
+WITH {_NODES}, n AS (SELECT path, lower(trim(regexp_extract(path, '[^/]*$'))) AS name, level, total FROM nodes WHERE level = 3)
+SELECT path AS node, first_value(path) OVER (PARTITION BY name ORDER BY level, total DESC, path) AS keep FROM n""")
+def merge_by_name(spark, d):
+    n = nodes(spark, d).filter("level = 3").select(F.col("path").alias("node"), F.element_at(F.split("path", "/"), -1).alias("name"), "level", F.col("total").alias("leaves"))
+    return H.merge_by_name(n)
+
+
+@register("reparented_edges", f"""
+WITH {_NODES}, n AS (SELECT path, parent, lower(trim(regexp_extract(path, '[^/]*$'))) AS name, level, total FROM nodes WHERE level = 3),
+m AS (SELECT path, parent, first_value(path) OVER (PARTITION BY name ORDER BY level, total DESC, path) AS keep FROM n) SELECT DISTINCT parent, keep AS child FROM m""")
+def reparented_edges(spark, d):
+    n = nodes(spark, d).filter("level = 3")
+    merged = H.merge_by_name(n.select(F.col("path").alias("node"), F.element_at(F.split("path", "/"), -1).alias("name"), "level", F.col("total").alias("leaves")))
+    return H.reparent(n.select("parent", F.col("path").alias("child")), merged)
+
+
+@register("graft_trees", f"WITH {_NODES} SELECT path, total, 'base' AS origin FROM nodes WHERE starts_with(path, 'P') UNION ALL SELECT path, total, 'other' FROM nodes WHERE level <= 2 AND NOT starts_with(path, 'P')")
+def graft_trees(spark, d):
+    n = nodes(spark, d).select("path", "total", "level")
+    base = n.filter(F.startswith("path", F.lit("P"))).select("path", "total", F.lit("base").alias("origin"))
+    return H.graft(base, n.filter("level <= 2").select("path", "total", F.lit("other").alias("origin")), ["path"])
+
+
+@register("fold_small_nodes", f"WITH {_NODES}, f AS (SELECT CASE WHEN total < 5 THEN parent ELSE path END AS path, total FROM nodes WHERE level = 3) SELECT path, CAST(sum(total) AS BIGINT) AS total FROM f GROUP BY path")
+def fold_small_nodes(spark, d):
+    leaves = nodes(spark, d).filter("level = 3")
+    return leaves.groupBy(F.when(F.col("total") < 5, F.col("parent")).otherwise(F.col("path")).alias("path")).agg(F.sum("total").alias("total"))
+
+
+@register("flatten_tree", f"WITH {_GEO} SELECT '' AS parent, r_name AS child, 0 AS level FROM region UNION ALL SELECT parent, child, 1 FROM e WHERE parent IN (SELECT r_name FROM region)")
+def flatten_tree(spark, d):
+    e = geo(spark, d).join(load(spark, d, "region").select(F.col("r_name").alias("parent")), "parent", "left_semi")
+    tree = e.groupBy(F.col("parent").alias("name")).agg(F.collect_list(F.struct(F.col("child").alias("name"))).alias("children"))
+    return H.flatten_tree(tree)
+
+
+@register("canonicalise_path", """
+WITH s AS (SELECT DISTINCT p_type, p_brand FROM part), c AS (SELECT p_type, p_brand, lower(p_type) AS l1, replace(lower(p_brand), ' ', '_') AS l2 FROM s)
+SELECT p_type, p_brand, CASE WHEN l1 NOT IN ('economy', 'small') THEN NULL WHEN l1 = 'economy' AND l2 IN ('brand#1', 'brand#2') THEN l1 || '/' || l2 WHEN l1 = 'small' AND l2 IN ('brand#3') THEN l1 || '/' || l2 ELSE l1 || '/other' END AS path FROM c""")
+def canonicalise_path(spark, d):
+    p = load(spark, d, "part").select("p_type", "p_brand").distinct()
+    spec = {"economy": ["brand#1", "brand#2"], "small": ["brand#3"]}
+    return p.select("p_type", "p_brand", F.array_join(H.canonical_path(F.array("p_type", "p_brand"), spec), "/").alias("path"))
+
+
+@register("alias_closure", "WITH RECURSIVE a AS (SELECT 'NATION_' || n_nationkey AS o, 'NATION_' || (n_nationkey + 5) AS n FROM nation WHERE n_nationkey < 20), t AS (SELECT o, n FROM a UNION ALL SELECT t.o, a.n FROM t JOIN a ON t.n = a.o) SELECT o AS old, max_by(n, CAST(substr(n, 8) AS INTEGER)) AS new FROM t GROUP BY o")
+def alias_closure(spark, d):
+    n = load(spark, d, "nation").filter("n_nationkey < 20")
+    return H.alias_closure(n.select(F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("old"), F.concat(F.lit("NATION_"), (F.col("n_nationkey") + 5).cast("string")).alias("new")))
+
+
+@register("alias_resolution", "WITH p AS (SELECT DISTINCT p_type || '/' || p_brand AS path FROM part) SELECT path, CASE WHEN path = 'ECONOMY/Brand#2' THEN 'VALUE/two' WHEN starts_with(path, 'ECONOMY/') THEN 'VALUE' || substr(path, 8) ELSE path END AS resolved FROM p")
+def alias_resolution(spark, d):
+    p = load(spark, d, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("path")).distinct()
+    aliases = spark.createDataFrame([("ECONOMY", "CHEAP"), ("CHEAP", "VALUE"), ("ECONOMY/Brand#2", "VALUE/two")], "old string, new string")
+    return H.resolve(p, "path", H.alias_closure(aliases))
+
+
+@register("label_rules", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'circular' WHEN contains(p_name, 'rod') THEN 'linear' WHEN contains(p_name, 'hot') THEN 'thermal' ELSE 'other' END AS l1 FROM part")
+def label_rules(spark, d):
+    return load(spark, d, "part").select("p_partkey", H.by_rules(F.col("p_name"), [("ring", "circular"), ("rod", "linear"), ("hot", "thermal")], "other").alias("l1"))
+
+
+@register("snap_labels", """
+WITH l AS (SELECT DISTINCT replace(p_name, ' ', '_') AS label FROM part), c(canonical) AS (VALUES ('hot_ring'), ('plate'), ('small_rod_methods'), ('widget')),
+p AS (SELECT label, canonical, CASE WHEN label = canonical THEN 1 WHEN regexp_replace(label, '_(reaction|reactions|method|methods)$', '') = canonical OR label = regexp_replace(canonical, '_(reaction|reactions|method|methods)$', '') THEN 2 WHEN contains('_' || label || '_', '_' || canonical || '_') AND length(canonical) >= 5 THEN 3 WHEN contains('_' || canonical || '_', '_' || label || '_') AND length(label) >= 5 THEN 4 WHEN len(list_intersect(string_split(label, '_'), string_split(canonical, '_')))::DOUBLE / len(list_distinct(string_split(label, '_') || string_split(canonical, '_'))) >= 0.6 THEN 5 END AS r FROM l, c),
+b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, length(canonical) DESC, canonical) AS rn FROM p WHERE r IS NOT NULL) SELECT label, canonical, ['exact', 'ending', 'contains', 'inside', 'jaccard'][r] AS reason FROM b WHERE rn = 1""")
+def snap_labels(spark, d):
+    labels = load(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("label"))
+    return H.snap(labels, spark.createDataFrame([("hot_ring",), ("plate",), ("small_rod_methods",), ("widget",)], "canonical string"))
+
+
+@register("type_resolution", "SELECT o_orderpriority AS raw, CASE WHEN o_orderpriority LIKE '%URGENT' THEN 'urgent' WHEN o_orderpriority LIKE '%HIGH' THEN 'high' WHEN o_orderpriority LIKE '%LOW' THEN 'low' END AS type, count(*) AS n FROM orders GROUP BY ALL")
+def type_resolution(spark, d):
+    raw = F.concat(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)), F.lit(" (as ordered)"))
+    return load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("raw"), H.resolve_type(raw, ["urgent", "high"], {"low": "low"}).alias("type")).agg(F.count("*").alias("n"))
+
+
+@register("claim_type_paths", "SELECT event_type, CASE event_type WHEN 'click' THEN 'engagement/click' WHEN 'purchase' THEN 'revenue/purchase' ELSE event_type END AS path, count(*) AS n FROM events GROUP BY ALL")
+def claim_type_paths(spark, d):
+    table = F.create_map(*[F.lit(x) for x in ("click", "engagement/click", "purchase", "revenue/purchase")])
+    return load(spark, d, "events").groupBy("event_type", F.coalesce(table[F.col("event_type")], "event_type").alias("path")).agg(F.count("*").alias("n"))
+
+
+@register("shape_reclassification", """SELECT event_id, CASE WHEN event_type = 'view' AND CAST(json_extract(props, '$.k') AS BIGINT) > 50 THEN 'property' ELSE event_type END AS kind FROM events""")
+def shape_reclassification(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    return load(spark, d, "events").select("event_id", F.when((F.col("event_type") == "view") & (k > 50), "property").otherwise(F.col("event_type")).alias("kind"))
+
+
+@register("data_view", "SELECT p_type AS l1, p_brand AS l2, count(*) AS n FROM part JOIN (SELECT l_partkey, max(l_extendedprice) AS v FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE v > 50000 GROUP BY ALL")
+def data_view(spark, d):
+    """A view of the parts that carry a numeric signal."""
+    v = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("v")).filter("v > 50000")
+    return load(spark, d, "part").join(v, "p_partkey", "left_semi").groupBy(F.col("p_type").alias("l1"), F.col("p_brand").alias("l2")).agg(F.count("*").alias("n"))
+
+
+@register("paper_view", "SELECT l_orderkey AS paper, count(DISTINCT l_partkey) AS n, min(l_partkey) AS first_claim FROM lineitem GROUP BY 1")
+def paper_view(spark, d):
+    g = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
+    return g.select("paper", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_claim"))
+
+
+@register("frontier_indicators", "SELECT p_brand AS node, count(*) AS n, count(*) < 3 AS sparse, min(p_size) AS low, max(p_size) AS high, max(p_size) - min(p_size) > 30 AS conflict FROM part GROUP BY 1")
+def frontier_indicators(spark, d):
+    g = load(spark, d, "part").groupBy(F.col("p_brand").alias("node")).agg(F.count("*").alias("n"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    return g.select("node", "n", (F.col("n") < 3).alias("sparse"), "low", "high", (F.col("high") - F.col("low") > 30).alias("conflict"))
+
+
+@register("fan_out_audit", f"WITH {_NODES} SELECT parent, count(*) AS n_children FROM nodes GROUP BY parent HAVING count(*) > 20")
+def fan_out_audit(spark, d):
+    return H.fan_out(nodes(spark, d), 20).select("parent", "n_children")
+
+
+@register("duplicate_labels", "SELECT lower(p_name) AS key, count(DISTINCT p_type) AS n_parents FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+def duplicate_labels(spark, d):
+    return load(spark, d, "part").groupBy(F.lower("p_name").alias("key")).agg(F.countDistinct("p_type").alias("n_parents")).filter("n_parents > 1")
+
+
+@register("near_synonym_labels", "WITH l AS (SELECT DISTINCT p_name AS l FROM part) SELECT a.l, b.l AS r, round(1 - levenshtein(a.l, b.l)::DOUBLE / greatest(length(a.l), length(b.l)), 6) AS score FROM l a JOIN l b ON split_part(a.l, ' ', 1) = split_part(b.l, ' ', 1) AND a.l < b.l WHERE 1 - levenshtein(a.l, b.l)::DOUBLE / greatest(length(a.l), length(b.l)) >= 0.5")
+def near_synonym_labels(spark, d):
+    """Labels of a block (their first word) within an edit ratio."""
+    from lodestrata.functions.text import edit_ratio
+
+    a = load(spark, d, "part").select(F.col("p_name").alias("l"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("k")).distinct()
+    b = a.select(F.col("l").alias("r"), "k")
+    score = edit_ratio(F.col("l"), F.col("r"))
+    return a.join(b, "k").filter((F.col("l") < F.col("r")) & (score >= 0.5)).select("l", "r", F.round(score, 6).alias("score"))
+
+
+@register("ancestor_redundancy", "WITH p AS (SELECT DISTINCT lower(p_type) AS t, p_name FROM part) SELECT t AS parent, p_name AS leaf FROM p WHERE list_contains(string_split(p_name, ' '), t)")
+def ancestor_redundancy(spark, d):
+    p = load(spark, d, "part").select(F.lower("p_type").alias("parent"), F.col("p_name").alias("leaf")).distinct()
+    return p.filter(F.array_contains(F.split("leaf", " "), F.col("parent")))
+
+
+@register("spec_compile", """
+WITH a AS (SELECT DISTINCT p_name AS label, p_type AS l1 FROM part WHERE p_size % 2 = 0), b AS (SELECT DISTINCT p_name AS label, p_type AS l1 FROM part WHERE p_size % 2 = 1),
+g AS (SELECT a.label, a.l1 FROM a JOIN b USING (label, l1)), o AS (SELECT label, min(l1) AS l1 FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY l1 ORDER BY label) AS rn FROM o) SELECT label, CASE WHEN rn <= 10 THEN l1 ELSE l1 || '_more' END AS placed FROM r""")
+def spec_compile(spark, d):
+    """Labels that both reviews place alike, one place each, with what exceeds a node's fan-out set aside."""
+    from lodestrata.operators.rank import top_per
+
+    p = load(spark, d, "part").select(F.col("p_name").alias("label"), F.col("p_type").alias("l1"), "p_size")
+    agreed = p.filter("p_size % 2 = 0").select("label", "l1").distinct().join(p.filter("p_size % 2 = 1").select("label", "l1").distinct(), ["label", "l1"])
+    one = agreed.groupBy("label").agg(F.min("l1").alias("l1"))
+    ranked = top_per(one, "l1", [F.col("label")], 1_000_000)
+    return ranked.select("label", F.when(F.col("rn") <= 10, F.col("l1")).otherwise(F.concat("l1", F.lit("_more"))).alias("placed"))
+
+
+@register("label_clusters")
+def label_clusters(spark, d):
+    """Greedy and dependent on order, so one task for each block of labels (a vocabulary); tests compare a plain loop."""
+    from lodestrata.operators.pairs import greedy_clusters
+
+    counts = load(spark, d, "part").groupBy(F.col("p_type").alias("block"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("label")).agg(F.count("*").alias("n"))
+    return greedy_clusters(counts)
+
+
+@register("vector_clusters", """
+WITH RECURSIVE e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.25),
+s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), t AS (SELECT x AS node, x AS root FROM s UNION SELECT s.y, t.root FROM t JOIN s ON s.x = t.node) SELECT node, min(root) AS root FROM t GROUP BY node""")
+def vector_clusters(spark, d):
+    from lodestrata.operators.graph import components
+
+    pairs = vectors.similar_pairs(load(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.25)
+    return components(pairs.select("a", "b"))

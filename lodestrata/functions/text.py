@@ -45,13 +45,17 @@ def fold_marks(text: Column) -> Column:
     return F.translate(text, "".join(FOLD), "".join(FOLD.values()))
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(text: Column) -> Column:
+    """Unicode normal form NFKC, which has no built-in: Arrow batches of it in Python."""
+
+    def normal(part: pd.Series) -> pd.Series:
+        return part.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(normal, "string")(text)
 
 
 def fold(text: Column) -> Column:
-    """fold_marks after NFKC, which has no built-in."""
+    """fold_marks after NFKC."""
     return fold_marks(nfkc(text))
 
 
@@ -186,10 +190,13 @@ def holds_label(needle: Column, haystack: Column) -> Column:
     return F.contains(F.concat(F.lit("_"), haystack, F.lit("_")), F.concat(F.lit("_"), needle, F.lit("_")))
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: Column, b: Column) -> Column:
     """difflib's ratio, which no built-in has; edit_ratio() is the JVM-side approximation."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
+
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:

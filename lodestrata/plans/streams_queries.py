@@ -1 +1,77 @@
-"""Named queries; see registry."""
+"""Named queries of streaming operators: streams over events run to their end, checked on closed windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.plans.registry import register
+from lodestrata.streaming import streams as W
+
+
+def events(spark, d):
+    return W.table_stream(spark, d, "events", "ts")
+
+
+@register("stream_daily_counts", "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events, m WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= w GROUP BY ALL")
+def stream_daily_counts(spark, d):
+    return W.replay(W.daily_counts(events(spark, d), "ts", ["event_type"])).select(F.to_date("day").alias("day"), "event_type", "n")
+
+
+@register("stream_sliding_rate", "WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events), s AS (SELECT user_id, unnest(range(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 5 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS start FROM events) SELECT start, user_id, count(*) AS n FROM s, m WHERE start + INTERVAL 6 HOUR <= w GROUP BY ALL HAVING count(*) > 3")
+def stream_sliding_rate(spark, d):
+    return W.replay(W.sliding_rate(events(spark, d), "ts", "user_id", "6 hours", "1 hour", 3)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("stream_sessions", "WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events), g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), o AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, k) SELECT start, \"end\", user_id, n FROM o, m WHERE \"end\" <= w")
+def stream_sessions(spark, d):
+    s = W.replay(W.sessions(events(spark, d), "ts", "user_id", "2 hours"))
+    return s.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@register("stream_dedup", "SELECT count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users FROM events")
+def stream_dedup(spark, d):
+    twice = events(spark, d).select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return W.replay(W.dedup(twice, "ts", ["event_id"])).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@register("stream_upsert", "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def stream_upsert(spark, d):
+    """Batches are merged into a table of versions; the newest version is the result."""
+    from lodestrata.operators.ingest import upsert
+
+    where = W.scratch(spark)
+    state = {"now": None}
+
+    def merge(batch, number):
+        own = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+        if state["now"]:
+            old = spark.read.parquet(state["now"])
+            summed = old.unionByName(own).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+            own = upsert(old, summed, ["user_id"], ["last", "n"])
+        own.write.mode("overwrite").parquet(f"{where}/version-{number}")
+        state["now"] = f"{where}/version-{number}"
+
+    W.replay(events(spark, d), each=merge)
+    return spark.read.parquet(state["now"])
+
+
+@register("stream_digests", "SELECT e.user_id, count(*) AS n FROM events e JOIN (SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 50) s ON e.user_id = s.user_id WHERE ts > TIMESTAMP '2024-01-15' GROUP BY 1")
+def stream_digests(spark, d):
+    subs = spark.read.parquet(f"{d}/customer.parquet").filter("c_custkey < 50").select(F.col("c_custkey").alias("user_id"), F.lit("2024-01-15").cast("timestamp").alias("last"))
+    return W.replay(W.digests(events(spark, d), subs, "user_id", "ts", "last").select("user_id", "event_id")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@register("stream_join", "SELECT a.event_id AS purchase, b.event_id AS click FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 HOUR WHERE a.event_type = 'purchase' AND b.event_type = 'click'")
+def stream_join(spark, d):
+    a = events(spark, d).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("t1"))
+    b = events(spark, d).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("t2"))
+    return W.replay(W.joined_within(a, b, "user_id", "t1", "t2", "3 HOURS")).select("purchase", "click")
+
+
+@register("stream_incremental_ids", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def stream_incremental_ids(spark, d):
+    """Vectors that aren't there yet, batch by batch: an anti join of a stream with a table."""
+    schema = spark.read.parquet(f"{d}/embeddings.parquet").schema
+    new = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d).select("vec_id")
+    have = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("vec_id"))
+    return W.replay(new.join(have, "vec_id", "left_anti"))

@@ -201,7 +201,7 @@ def label_similarity_exact(spark, d):
     """difflib's ratio needs Python; tests hold it against difflib itself."""
     p = load(spark, d, "part").select("p_brand", "p_name").distinct()
     q = p.select("p_brand", F.col("p_name").alias("l")).join(p.select("p_brand", F.col("p_name").alias("r")), "p_brand").filter("l < r")
-    return q.select("p_brand", "l", "r", T.sequence_ratio("l", "r").alias("ratio"))
+    return q.select("p_brand", "l", "r", T.sequence_ratio(F.col("l"), F.col("r")).alias("ratio"))
 
 
 @register("label_containment", """

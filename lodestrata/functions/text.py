@@ -15,7 +15,7 @@ FOLD = {
     "₀": "0", "₁": "1", "₂": "2", "₃": "3", "₄": "4", "₅": "5", "₆": "6", "₇": "7", "₈": "8", "₉": "9",
     "⁰": "0", "¹": "1", "²": "2", "³": "3", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-",
-    "°": " ", "′": " ", "″": " ", "·": " ", "•": " ", " ": " ", " ": " ",
+    "°": " ", "′": " ", "″": " ", "·": " ", "•": " ", "\u2009": " ", "\u00a0": " ",
     "μ": "u", "µ": "u", "×": "x",
 }
 # Words that a query drops.

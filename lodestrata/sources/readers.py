@@ -4,25 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CLAIM = T.StructType.fromDDL(
+CLAIM = (
     "claim_id string, claim_type string, source_doi string, confidence string, verbatim_quote string, evidence_locator string, extracted_at string, view_paths map<string,array<string>>, data string"
 )
-SOURCE = T.StructType.fromDDL("doi string, title string, authors array<string>, year int, venue string, citation_count int, abstract string")
-NODE = T.StructType.fromDDL("view_id string, path string, name string, level int, claim_count long, children array<string>")
-EXTRACTION = T.StructType.fromDDL("doi string, model string, extracted_at string, data struct<claims: array<struct<claim_type: string, content: string, confidence: string, quote: string>>>")
+SOURCE = "doi string, title string, authors array<string>, year int, venue string, citation_count int, abstract string"
+NODE = "view_id string, path string, name string, level int, claim_count long, children array<string>"
+EXTRACTION = "doi string, model string, extracted_at string, data struct<claims: array<struct<claim_type: string, content: string, confidence: string, quote: string>>>"
 
 
-def json_files(spark: SparkSession, folder: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+def json_files(spark: SparkSession, folder: str, schema: str, multi_line: bool = True) -> DataFrame:
     """A record per file, with the file's name; multi_line off reads JSON lines."""
     return spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(folder).withColumn("_file", F.input_file_name())
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that don't parse are kept with null columns and their text in _bad."""
-    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    return spark.read.schema(full).option("columnNameOfCorruptRecord", "_bad").json(path)
+    return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
 def hierarchy(nodes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
-from lodestrata.llm.runtime import attach, keep_ids, written
+from lodestrata.llm.runtime import attach, keep_ids, release, written
 
 #: Words of a shingle; sets link when 100 * intersection >= PERCENT * union.
 SHINGLE_WORDS, PERCENT = 4, 85
@@ -111,15 +111,19 @@ def least_shared(n: np.ndarray | int, percent: int = PERCENT):
     return (n * percent + 99) // 100
 
 
+#: Kinds of keys: of a rare token, of frequent tokens, and of a frequent single token of a set with few of them.
+RARE, OFTEN, NARROW = 0, 1, 2
+
+
 def index_keys(tokens: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, narrow): keys of a set; narrow ones are frequent single tokens of a set with few of them.
+    """(keys, kinds) of a set.
 
     A set so small that neither a token less nor one more is allowed is similar to no other set, and gets none.
     """
     n = len(tokens)
     shared = least_shared(n, percent)
     if shared >= n and n * 100 < percent * (n + 1):  # neither a token less nor one more is allowed
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     pairs = shared >= 2
     size = min(n, n - shared + (2 if pairs else 1))
     level = classes[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
@@ -127,11 +131,10 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray, percent: int = PERCENT)
     tokens, level = tokens[order], level[order]
     rare, often = tokens[level == 0], tokens[level > 0]
     if not pairs or len(often) > FEW:
-        return tokens, np.zeros(len(tokens), bool)
+        return tokens, np.where(level == 0, RARE, OFTEN).astype(np.int32)
     i, j = np.triu_indices(len(often), 1)
     both = _mix(often[i] * _MANY[14] + _mix(often[j] * _MANY[15]))
-    keys = np.concatenate([rare, both, often])
-    return keys, np.arange(len(keys)) >= len(rare) + len(both)
+    return np.concatenate([rare, both, often]), np.repeat(np.array([RARE, OFTEN, NARROW], np.int32), [len(rare), len(both), len(often)])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -200,8 +203,8 @@ def frequency_classes(sketch: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(key, narrow, class, doc_id) of every distinct set of a task."""
-    names, kinds = ["key", "narrow", "class", "doc_id"], (pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    """(key, kind, class, doc_id) of every distinct set of a task."""
+    names, kinds = ["key", "kind", "class", "doc_id"], (pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -213,9 +216,9 @@ def _postings(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Dat
                 if own in seen:
                     continue
                 seen.add(own)
-                keys, narrow = index_keys(tokens, classes, percent)
+                keys, kind = index_keys(tokens, classes, percent)
                 if len(keys):
-                    held.append((keys, narrow, np.full(len(keys), own), np.full(len(keys), doc_id.as_py())))
+                    held.append((keys, kind, np.full(len(keys), own), np.full(len(keys), doc_id.as_py())))
                     size += len(keys)
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate([x[0] for x in held])), *[pa.array(np.concatenate([x[i] for x in held]), kinds[i]) for i in (1, 2, 3)]], names)
@@ -223,7 +226,41 @@ def _postings(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Dat
             if held:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate([x[0] for x in held])), *[pa.array(np.concatenate([x[i] for x in held]), kinds[i]) for i in (1, 2, 3)]], names)
 
-    return docs.mapInArrow(posted, "key long, narrow boolean, class long, doc_id long")
+    return docs.mapInArrow(posted, "key long, kind int, class long, doc_id long")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key and doc_id: those of keys with two classes or more, with the class of the first row as pivot. Streams; holds one row of a key."""
+    key = first = None
+    shown = False
+    for batch in batches:
+        out = []
+        for k, c, i in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+            if k != key:
+                key, first, shown = k, (c, i), False
+            elif c != first[0]:
+                if not shown:
+                    out.append((k, RARE, *first, first[0]))
+                    shown = True
+                out.append((k, RARE, c, i, first[0]))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "kind", "class", "doc_id", "pivot"])
+
+
+def _members(postings: DataFrame) -> DataFrame:
+    """(key, kind, class, doc_id, pivot) of keys in which different classes meet.
+
+    A rare token's counter is below the sketch's bound, so that it is in no more than about one of a thousand documents:
+    its postings go to one task, which streams them in order. Keys of frequent tokens may be in any share of the
+    documents: their pivots are minima, combined on the map side, and the join is one that AQE splits.
+    """
+    rare = postings.filter(F.col("kind") == RARE).select("key", "class", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
+    rare = rare.mapInArrow(_met, "key long, kind int, class long, doc_id long, pivot long")
+    often = postings.filter(F.col("kind") != RARE)
+    wide = F.when(F.col("kind") == OFTEN, F.struct("doc_id", "class"))
+    keys = often.groupBy("key").agg(F.min(wide).alias("pivot"), F.min("class").alias("least"), F.max("class").alias("most"))
+    keys = written(keys.filter(F.col("pivot").isNotNull() & (F.col("least") != F.col("most"))).select("key", F.col("pivot.class").alias("pivot")), "jaccard-keys")
+    return rare.unionByName(often.join(keys.hint("shuffle_merge"), "key"))
 
 
 def _may_link(n_a: Column, n_b: Column, bits_a: list[Column], bits_b: list[Column], percent: int) -> Column:
@@ -262,11 +299,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     texts = keep_ids(docs, known.select("doc_id"), "doc_id")
-    sets = written(texts.mapInArrow(whole, "class long, tokens binary").dropDuplicates(["class"]), f"{name}-sets")
+    sets = written(texts.mapInArrow(whole, "class long, tokens binary"), f"{name}-sets")
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens")).hint("shuffle_merge")
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens")).hint("shuffle_merge")
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
-    return written(both.mapInArrow(checked, "a long, b long"), f"{name}-links")
+    links = written(both.mapInArrow(checked, "a long, b long"), f"{name}-links")
+    release(sets, known)
+    return links
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -286,10 +325,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     levels = frequency_classes(known.filter(F.col("chunk").isNotNull()).select("part", "chunk", "counts"))
     postings = written(_postings(rows.filter(F.col("doc_id").isNotNull()), levels, n, percent), "jaccard-postings")
-    wide = F.when(~F.col("narrow"), F.struct("doc_id", "class"))
-    keys = postings.groupBy("key").agg(F.min(wide).alias("pivot"), F.min("class").alias("least"), F.max("class").alias("most"))
-    keys = written(keys.filter(F.col("pivot").isNotNull() & (F.col("least") != F.col("most"))).select("key", F.col("pivot.class").alias("pivot")), "jaccard-keys")
-    members = written(postings.join(keys.hint("shuffle_merge"), "key"), "jaccard-members")
+    members = written(_members(postings), "jaccard-members")
+    release(postings)
 
     star = members.filter(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     star = written(star.join(_side(classes, "a"), "a"), "jaccard-star")
@@ -299,14 +336,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links, "jaccard-first")
 
     placed = members.join(roots.select(F.col("node").alias("class"), "root").hint("shuffle_merge"), "class", "left")
-    placed = written(placed.select("key", "narrow", "class", F.coalesce("root", "class").alias("root")), "jaccard-placed")
+    placed = written(placed.select("key", "kind", "class", F.coalesce("root", "class").alias("root")), "jaccard-placed")
     open_keys = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "jaccard-open-keys")
     open_ = placed.join(open_keys.hint("shuffle_merge"), "key")
     open_ = written(open_, "jaccard-open")
     open_ = written(open_.join(classes.select("class", "n", *_BITS).hint("shuffle_merge"), "class"), "jaccard-open")
-    a = open_.select("key", *[F.col(c).alias(f"a_{c}") for c in ("class", "narrow", "root", "n", *_BITS)])
-    b = open_.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "narrow", "root", "n", *_BITS)]).hint("shuffle_merge")
-    fits = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & ~(F.col("a_narrow") & F.col("b_narrow")) & _may_link(F.col("a_n"), F.col("b_n"), bits("a"), bits("b"), percent)
+    a = open_.select("key", *[F.col(c).alias(f"a_{c}") for c in ("class", "kind", "root", "n", *_BITS)])
+    b = open_.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "kind", "root", "n", *_BITS)]).hint("shuffle_merge")
+    fits = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & ~((F.col("a_kind") == NARROW) & (F.col("b_kind") == NARROW)) & _may_link(F.col("a_n"), F.col("b_n"), bits("a"), bits("b"), percent)
     crossed = a.join(b.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & fits)
     crossed = written(crossed.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "jaccard-crossed")
     more = _verified(crossed, rows, classes, n, percent, "jaccard-cross")

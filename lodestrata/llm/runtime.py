@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,14 +44,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that written() has left and nothing reads any more, and lets go of shuffle files.
+
+    Spark deletes a shuffle's files once its dependency is collected as garbage on the driver, which on a quiet driver
+    may take long after the last use.
+    """
+    for df in tables:
+        for spark, path in [x for x in _written if f"{x[1]}/" in str(df.inputFiles()[:1])]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+    gc.collect()
+    for spark in {id(df.sparkSession): df.sparkSession for df in tables}.values():
+        spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clean() -> None:
     """Deletes the tables that written() has left; DataFrames that read them can't be used afterwards."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; the cluster cleans its scratch folder
             return
 

@@ -9,8 +9,8 @@ pair over the threshold meets in a key; what meets is verified on the whole sets
 The order comes from a sketch of counters of a fixed size over all documents' tokens. Documents with equal sets are one
 class from the start. A key's classes are first linked with one pivot (a star: rows grow with the postings, not with
 their square), verified, and merged into components; only pairs of a key that are then still in different components are
-formed, thinned by their sizes and by 256-bit parity signatures, which bound the sets' difference from below, and
-verified. So a large group of near copies costs a star instead of all its pairs, and no link that could join two
+formed. Pairs are thinned by their sizes and by parity signatures, which bound the sets' difference from below, before
+they are verified. So a large group of near copies costs a star instead of all its pairs, and no link that could join two
 components is left out.
 """
 
@@ -35,6 +35,9 @@ SHINGLE_WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch, in SKETCH_CHUNKS rows per task; FAN_IN tasks' sketches are summed at a time.
 SKETCH, SKETCH_CHUNKS, FAN_IN = 1 << 20, 16, 64
 
+#: Bits of a signature at most.
+MOST_BITS = 1 << 16
+
 #: Frequent tokens of a prefix up to which it is indexed by pairs of them.
 FEW = 8
 
@@ -106,6 +109,23 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Parities as in parity(), over as many bits as the set has tokens (a power of two from 256 to MOST_BITS)."""
+    bits = min(MOST_BITS, max(256, 1 << max(0, len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of two sets' symmetric difference from their signatures; the longer one is folded to the shorter."""
+    a, b = sorted((x, y), key=len)
+    p, q, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while size > 8 * len(a):
+        size //= 2
+        q = (q >> size) ^ (q & ((1 << size) - 1))
+    return (p ^ q).bit_count()
+
+
 def least_shared(n: np.ndarray | int, percent: int = PERCENT):
     """Tokens of a set of n that any similar set shares at least."""
     return (n * percent + 99) // 100
@@ -141,8 +161,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
 
 
-_ROW = "part int, chunk int, counts binary, doc_id long, n long, class long, b0 long, b1 long, b2 long, b3 long"
-_ROW_KINDS = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 7)
+_ROW = "part int, chunk int, counts binary, doc_id long, n long, class long, b0 long, b1 long, b2 long, b3 long, bits binary"
+_ROW_KINDS = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 7, pa.binary())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -155,7 +175,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             tokens = shingle_set(text.as_py(), n)
             own = digest(tokens)
-            rows.append((None, None, None, doc_id.as_py(), len(tokens), own, *parity(tokens).tolist()))
+            rows.append((None, None, None, doc_id.as_py(), len(tokens), own, *parity(tokens).tolist(), signature(tokens)))
             if own not in seen and len(tokens):
                 seen.add(own)
                 np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
@@ -164,7 +184,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     if seen:
         each = SKETCH // SKETCH_CHUNKS
         for i in range(SKETCH_CHUNKS):
-            row = (part, i, _packed(counts[i * each : (i + 1) * each]), *[None] * 7)
+            row = (part, i, _packed(counts[i * each : (i + 1) * each]), *[None] * 8)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _ROW_KINDS, strict=True)], names)
 
 
@@ -273,8 +293,24 @@ def _may_link(n_a: Column, n_b: Column, bits_a: list[Column], bits_b: list[Colum
 _BITS = ("b0", "b1", "b2", "b3")
 
 
-def _side(classes: DataFrame, c: str) -> DataFrame:
-    return classes.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(b).alias(f"{c}_{b}") for b in _BITS]).hint("shuffle_merge")
+def _thinned(pairs: DataFrame, classes: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures allow the threshold, written; none that is over it is lost."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if min(n, m) * 100 >= max(n, m) * percent and differ_at_least(x, y) * (100 + percent) <= (n + m) * (100 - percent):
+                    out.append((a, b))
+            columns = zip(*out, strict=True) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")).hint("shuffle_merge")
+    half = written(pairs.join(side("a"), "a"), f"{name}-half")  # cut here, so that AQE can split either join
+    both = half.join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    out = written(both.mapInArrow(possible, "a long, b long"), f"{name}-pairs")
+    release(half)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, name: str) -> DataFrame:
@@ -317,9 +353,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = written(rows.mapInArrow(lambda batches: _sets(batches, n), _ROW), "jaccard-sets")
-    sets = known.filter(F.col("n").isNotNull()).select("doc_id", "n", "class", *_BITS)
+    sets = known.filter(F.col("n").isNotNull()).select("doc_id", "n", "class", *_BITS, "bits")
     some = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    alike = F.struct("doc_id", "n", *_BITS)
+    alike = F.struct("doc_id", "n", *_BITS, "bits")
     merged = some.groupBy("class").agg(F.min(alike).alias("x"), F.count("*").alias("n_docs"))
     classes = written(merged.select("class", "n_docs", "x.*"), "jaccard-classes")
 
@@ -329,10 +365,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(postings)
 
     star = members.filter(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = written(star.join(_side(classes, "a"), "a"), "jaccard-star")
-    bits = lambda c: [F.col(f"{c}_{b}") for b in _BITS]
-    star = star.join(_side(classes, "b"), "b").filter(_may_link(F.col("a_n"), F.col("b_n"), bits("a"), bits("b"), percent))
-    links = _verified(written(star.select("a", "b"), "jaccard-pairs"), rows, classes, n, percent, "jaccard-star")
+    links = _verified(_thinned(star, classes, percent, "jaccard-star"), rows, classes, n, percent, "jaccard-star")
     roots = components(links, "jaccard-first")
 
     placed = members.join(roots.select(F.col("node").alias("class"), "root").hint("shuffle_merge"), "class", "left")
@@ -343,10 +376,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = written(open_.join(classes.select("class", "n", *_BITS).hint("shuffle_merge"), "class"), "jaccard-open")
     a = open_.select("key", *[F.col(c).alias(f"a_{c}") for c in ("class", "kind", "root", "n", *_BITS)])
     b = open_.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "kind", "root", "n", *_BITS)]).hint("shuffle_merge")
+    bits = lambda c: [F.col(f"{c}_{b}") for b in _BITS]
     fits = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & ~((F.col("a_kind") == NARROW) & (F.col("b_kind") == NARROW)) & _may_link(F.col("a_n"), F.col("b_n"), bits("a"), bits("b"), percent)
     crossed = a.join(b.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & fits)
-    crossed = written(crossed.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "jaccard-crossed")
-    more = _verified(crossed, rows, classes, n, percent, "jaccard-cross")
+    crossed = crossed.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    more = _verified(_thinned(crossed, classes, percent, "jaccard-cross"), rows, classes, n, percent, "jaccard-cross")
     if not more.isEmpty():
         roots = components(links.union(more), "jaccard-second")
 

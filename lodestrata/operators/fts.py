@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import clean_query, tokens
+from lodestrata.functions.text import TOKEN, clean_query, tokens
 
 #: BM25 constants.
 K1, B = 1.2, 0.75
@@ -39,9 +39,17 @@ def index(docs: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataFrame:
     return out
 
 
+def _held(text: Column, term: str) -> Column:
+    """Whether the text has the token; it is only cut into tokens where it has the letters."""
+    return F.contains(F.lower(text), F.lit(term)) & F.array_contains(tokens(text), term)
+
+
 def term_frequencies(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
     """(id, dl, tf array in order of terms) of documents that hold a term: within a row, no shuffle."""
-    w = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    any_ = F.lit(False)
+    for t in terms:
+        any_ = any_ | F.contains(F.lower(text_col), F.lit(t))
+    w = docs.filter(any_).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
 
     def count(term: str) -> Column:
         return F.size(F.filter("w", lambda x: x == term)).cast("long")
@@ -53,12 +61,14 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str, terms: list[st
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(id, score), rounded to six digits, of documents that hold any term.
 
-    Two passes over the text: corpus totals and document frequencies (one row), then scores within rows.
+    Two passes over the text: corpus totals and document frequencies (one row), then scores within rows. Only texts that
+    hold a term's letters are cut into tokens.
     """
     terms = list(dict.fromkeys(terms))
-    sizes = docs.select(F.size(tokens(F.col(text_col))).cast("long").alias("dl"), tokens(F.col(text_col)).alias("w"))
-    counts = [F.count(F.when(F.array_contains("w", t), 1)).alias(f"df{i}") for i, t in enumerate(terms)]
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *counts)
+    text = F.col(text_col)
+    dl = F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN)).cast("long")
+    counts = [F.count(F.when(_held(text, t), 1)).alias(f"df{i}") for i, t in enumerate(terms)]
+    stats = docs.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), *counts)
     hits = term_frequencies(docs, id_col, text_col, terms).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -68,7 +68,8 @@ def co_occurrence(pairs: DataFrame, group: str, member: str, least: int = 2, mos
     The size filter bounds a group's pairs; it is part of the operator (huge author lists say nothing of two authors).
     """
     own = pairs.select(group, F.col(member).alias("m")).distinct()
-    sized = own.groupBy(group).agg(F.collect_set("m").alias("s")).filter(F.size("s").between(least, most))
+    fits = own.groupBy(group).agg(F.count("*").alias("k")).filter(F.col("k").between(least, most)).select(group)
+    sized = own.join(fits, group, "left_semi").groupBy(group).agg(F.collect_list("m").alias("s"))
     exploded = sized.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).filter("a < b")
     return exploded.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_groups)
 

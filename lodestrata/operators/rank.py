@@ -47,7 +47,7 @@ def cap_stable(df: DataFrame, key: str, position: str, n: int = 1) -> DataFrame:
 
 
 def top_per(df: DataFrame, key: str | list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each key."""
+    """The first n rows of each key. Spark cuts each map task's rows of a key to n before the shuffle (WindowGroupLimit), so a hot key stays small."""
     keys = [key] if isinstance(key, str) else key
     return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= n)
 

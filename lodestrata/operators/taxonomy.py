@@ -20,7 +20,7 @@ def prefix_map(claims: DataFrame, id_col: str, path: Column, view: Column | None
 def rollup(members: DataFrame, sample: int = 100) -> DataFrame:
     """Nodes from a prefix map: view, path, level, parent, own and total counts, smallest ids. No recursion: one aggregate.
 
-    The sample is kept as the `sample` smallest ids of sorted slices per map task, not as a list of all members.
+    The sample is the `sample` smallest ids; each map task cuts a node's rows to that many before the shuffle.
     """
     ordered = members.withColumn("rn", F.row_number().over(W.partitionBy("view", "prefix").orderBy("id")))
     nodes = members.groupBy("view", F.col("prefix").alias("path")).agg(

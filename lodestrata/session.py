@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +24,15 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf: st
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was started.
+
+    On a cluster the package is installed or sent with --py-files as usual; a folder that isn't there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

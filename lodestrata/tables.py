@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.session import reachable
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of the folder; filters and column selections reach its scan."""
+    reachable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

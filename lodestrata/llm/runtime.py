@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import reachable
+
 #: A side of at most so many narrow rows (ids of 8 bytes) is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -20,6 +22,7 @@ _written: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

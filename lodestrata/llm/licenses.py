@@ -1,8 +1,8 @@
 r"""License scan: ordered signature rules behind a keyword prefilter.
 
 Rules are regular expressions built from families (names, versions, identifiers, addresses) and forms of a notice. A
-family's rules run only on texts that hold its keyword, and any rule only where a license word is. Detections carry a
-priority; one that lies inside a detection of the same or a higher priority is suppressed, by a sweep in order of start.
+rule runs only on texts that hold keywords which each of its matches contains, so the prefilter loses nothing; words of a
+rule may stand on several lines with comment marks between. Detections carry a priority; one that lies inside a detection of the same or a higher priority is suppressed, by a sweep in order of start.
 
 All of it is DataFrame expressions within a row: no shuffle, no Python on the executors.
 """
@@ -22,27 +22,31 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Family label, keyword (lower case), pattern of the name, versions, address.
+#: White space between two words of a rule, with the comment marks that begin a line; possessive, so it is never read twice.
+SPACE = r"(?:(?:[\x20\t\r\x0B\f\u00A0]++|\n[\x20\t\r\x0B\f\u00A0]*+(?:[*#;!|>%]++|//++|--++|dnl\b|rem\b)?+)++)"
+
+#: Family label, keywords of the name (lower case; all are needed, of a|b one), pattern of the name (a space
+#: stands for SPACE), versions, address.
 FAMILIES = (
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", ("1.0", "3.0"), r"gnu\.org/licenses/agpl"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ("2.0", "2.1", "3.0"), r"gnu\.org/licenses/lgpl"),
-    ("gpl", "general public licen", r"(?:gnu )?general public licen[sc]e", ("1.0", "2.0", "3.0"), r"gnu\.org/licenses/gpl"),
+    ("agpl", "affero general public", r"(?:gnu )?affero general public licen[sc]e", ("1.0", "3.0"), r"gnu\.org/licenses/agpl"),
+    ("lgpl", "lesser|library general public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ("2.0", "2.1", "3.0"), r"gnu\.org/licenses/lgpl"),
+    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", ("1.0", "2.0", "3.0"), r"gnu\.org/licenses/gpl"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", ("1.1", "1.2", "1.3"), r"gnu\.org/licenses/fdl"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e", ("1.0", "1.1", "2.0"), r"apache\.org/licenses"),
-    ("mit", "mit ", r"mit(?:/x11)? licen[sc]e", (), r"opensource\.org/licenses/mit"),
+    ("mit", "mit", r"mit(?:/x11)? licen[sc]e", (), r"opensource\.org/licenses/mit"),
     ("bsd", "bsd", r"(?:new |modified |simplified |original |revised )?(?:[0-4]-clause )?bsd(?:[- ][0-4][- ]clause)? licen[sc]e", (), r"opensource\.org/licenses/bsd"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e", ("1.0", "1.1", "2.0"), r"mozilla\.org/(?:en-us/)?mpl"),
-    ("epl", "eclipse", r"eclipse public licen[sc]e", ("1.0", "2.0"), r"eclipse\.org/legal/epl"),
+    ("mpl", "mozilla public", r"mozilla public licen[sc]e", ("1.0", "1.1", "2.0"), r"mozilla\.org/(?:en-us/)?mpl"),
+    ("epl", "eclipse public", r"eclipse public licen[sc]e", ("1.0", "2.0"), r"eclipse\.org/legal/epl"),
     ("eupl", "european union public", r"european union public licen[sc]e", ("1.1", "1.2"), r"joinup\.ec\.europa\.eu"),
     ("cddl", "common development", r"common development and distribution licen[sc]e", ("1.0", "1.1"), r"opensource\.org/licenses/cddl"),
     ("artistic", "artistic", r"(?:perl )?artistic licen[sc]e", ("1.0", "2.0"), r"opensource\.org/licenses/artistic"),
-    ("bsl", "boost", r"boost software licen[sc]e", ("1.0",), r"boost\.org/license"),
+    ("bsl", "boost software", r"boost software licen[sc]e", ("1.0",), r"boost\.org/license"),
     ("isc", "isc", r"isc licen[sc]e", (), r"opensource\.org/licenses/isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", (), r"zlib\.net/zlib_license"),
-    ("wtfpl", "do what the", r"do what the f\S+ you want to public licen[sc]e", ("1.0", "2.0"), r"wtfpl\.net"),
+    ("wtfpl", "what want public", r"do what the f\S+ you want to public licen[sc]e", ("1.0", "2.0"), r"wtfpl\.net"),
     ("unlicense", "unlicense", r"the unlicense", (), r"unlicense\.org"),
     ("ofl", "open font", r"(?:sil )?open font licen[sc]e", ("1.0", "1.1"), r"scripts\.sil\.org/ofl"),
-    ("psf", "python software", r"python software foundation licen[sc]e", ("2.0",), r"docs\.python\.org/3/license"),
+    ("psf", "python software foundation", r"python software foundation licen[sc]e", ("2.0",), r"docs\.python\.org/3/license"),
     ("odbl", "open database", r"open (?:data commons open )?database licen[sc]e", ("1.0",), r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", "data commons attribution", r"open data commons attribution licen[sc]e", ("1.0",), r"opendatacommons\.org/licenses/by"),
     ("ms-pl", "microsoft public", r"microsoft public licen[sc]e", (), r"opensource\.org/licenses/ms-pl"),
@@ -55,45 +59,71 @@ FAMILIES = (
     ("busl", "business source", r"business source licen[sc]e", ("1.0", "1.1"), r"mariadb\.com/bsl"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e", (), r"opensource\.org/licenses/postgresql"),
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[sc]e", (), r"opensource\.org/licenses/ncsa"),
-    ("openrail", "openrail", r"(?:bigscience |creativeml )?open ?rail(?:-?\+?\+?m)? licen[sc]e", (), r"huggingface\.co/spaces/\S+/license"),
+    ("openrail", "open rail", r"(?:bigscience |creativeml )?open ?rail(?:-?\+?\+?m)? licen[sc]e", (), r"huggingface\.co/spaces/\S+/license"),
 )
 #: Creative Commons suites and versions.
 CC_SUITES = ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by", "zero")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Words one of which a text must hold for any rule to run on it.
-GATES = ("licen", "cc by", "cc-by", "cc0", "creative commons", "public domain", "all rights reserved", "spdx")
+#: Beginnings one of which is in any short name of a Creative Commons license.
+CC_SHORT = ("cc-", "cc0", "cc ", "cc\n", "cc\t", "cc\r", "cc\x0b", "cc\f", "cc\u00a0")
 
 _NOTICE = r"(?:licen[sc]ed|released|distributed|published|available|made available|covered|provided|redistributed)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
-_VERSION = r",?\s*(?:\(?(?:version|v\.?|ver\.?)\s*)?"
+_VERSION = r",? ?(?:\(?(?:version|v\.?|ver\.?) ?)?"
+
+
+def _spaced(pattern: str) -> str:
+    """A pattern with SPACE for its spaces."""
+    return pattern.replace("[- ]", f"(?:-|{SPACE})").replace(" ", SPACE)
+
+
+def _host(address: str) -> str:
+    """The literal beginning of an address rule."""
+    return re.split(r"\(|\\S", address)[0].replace("\\", "")
 
 
 def rules() -> list[dict]:
-    """Families as {"gate", "rules": [{"label", "priority", "pattern"}]}; a few hundred rules in all."""
-    out = []
-    for label, gate, name, versions, address in FAMILIES:
-        own = [(label, 1, rf"\b{name}\b"), (label, 2, rf"\b{_NOTICE}{name}\b"), (label, 2, address), (label, 4, rf"spdx-license-identifier:\s*{re.escape(label)}\b")]
+    """Groups as {"gate", "rules": [{"label", "priority", "pattern"}]}; a few hundred rules in all.
+
+    gate is a list of lists of keywords: every match of the group's rules contains a word of each list.
+    """
+    groups: list[tuple] = []
+    spdx = []
+    for label, keywords, name, versions, address in FAMILIES:
+        own = [(label, 1, rf"\b{name}\b"), (label, 2, rf"\b{_NOTICE}{name}\b")]
+        spdx.append((label, 4, rf"spdx-license-identifier: ?{re.escape(label)}\b"))
         for v in versions:
             number = re.escape(v.removesuffix(".0")) + (r"(?:\.0)?" if v.endswith(".0") else "") + r"(?![0-9]|\.[0-9])"
-            own += [(f"{label}-{v}", 3, rf"\b{name}{_VERSION}{number}"), (f"{label}-{v}", 4, rf"\b{_NOTICE}{name}{_VERSION}{number}"), (f"{label}-{v}", 4, rf"spdx-license-identifier:\s*{re.escape(label)}-{number}(?:-or-later|-only)?")]
-        out.append({"gate": gate, "rules": own})
-        out.append({"gate": "spdx-license-identifier", "rules": [r for r in own if r[1] == 4 and "spdx" in r[2]]})
+            own += [(f"{label}-{v}", 3, rf"\b{name}{_VERSION}{number}"), (f"{label}-{v}", 4, rf"\b{_NOTICE}{name}{_VERSION}{number}")]
+            spdx.append((f"{label}-{v}", 4, rf"spdx-license-identifier: ?{re.escape(label)}-{number}(?:-or-later|-only)?"))
+        groups += [([k.split("|") for k in ("licen", *keywords.split())], own), ([[_host(address)]], [(label, 2, address)])]
+    groups.append(([["spdx-license-identifier"]], spdx))
+    short, long = [], []
     for suite in CC_SUITES:
         said = r"(?:cc0|cc[- ]zero)" if suite == "zero" else "cc[- ]" + suite.replace("-", "[- ]")
         parts = {"by": "attribution", "nc": "non-?commercial", "nd": "no-?deriv(?:ative|s|atives)(?: works)?", "sa": "share-?alike", "zero": "zero"}
-        long = r"creative commons " + r"[- ]".join(parts[p] for p in suite.split("-"))
-        own = [(f"cc-{suite}", 2, rf"\b{said}(?![a-z])"), (f"cc-{suite}", 2, rf"\b{long}\b")]
+        full = r"creative commons " + r"[- ]".join(parts[p] for p in suite.split("-"))
+        short.append((f"cc-{suite}", 2, rf"\b{said}(?![a-z])"))
+        long.append((f"cc-{suite}", 2, rf"\b{full}\b"))
         for v in CC_VERSIONS:
             number = re.escape(v) + r"(?![0-9])"
-            own += [(f"cc-{suite}-{v}", 3, rf"\b{said}[- ]{number}"), (f"cc-{suite}-{v}", 3, rf"\b{long}(?: licen[sc]e)?{_VERSION}{number}")]
-        out += [{"gate": "cc", "rules": [r for r in own if "creative" not in r[2]]}, {"gate": "creative commons", "rules": [r for r in own if "creative" in r[2]]}]
-    out += [
-        {"gate": "public domain", "rules": [("public-domain", 2, r"\b(?:dedicated to|placed in|released into|in) the public domain\b")]},
-        {"gate": "all rights reserved", "rules": [("proprietary", 2, r"\ball rights reserved\b"), ("proprietary", 3, r"copyright (?:\(c\)|©)?[^\n]{0,80}all rights reserved\b")]},
+            short.append((f"cc-{suite}-{v}", 3, rf"\b{said}[- ]{number}"))
+            long.append((f"cc-{suite}-{v}", 3, rf"\b{full}(?: licen[sc]e)?{_VERSION}{number}"))
+    groups += [
+        ([CC_SHORT], short),
+        ([["creative"], ["commons"]], long),
+        ([["domain"], ["public"]], [("public-domain", 2, r"\b(?:dedicated to|placed in|released into|in) the public domain\b")]),
+        ([["reserved"], ["rights"]], [("proprietary", 2, r"\ball rights reserved\b"), ("proprietary", 3, r"copyright (?:\(c\)|©)?[^\n]{0,80}all rights reserved\b")]),
     ]
-    return [{"gate": f["gate"], "rules": [dict(zip(("label", "priority", "pattern"), r, strict=True)) for r in f["rules"]]} for f in out]
+    return [{"gate": [list(any_of) for any_of in gate], "rules": [{"label": label, "priority": p, "pattern": _spaced(x)} for label, p, x in own]} for gate, own in groups]
+
 
+def gates() -> list[str]:
+    """Words one of which a text must hold for any rule to match: of each group those of its gate's first list."""
+    words = {w for f in rules() for w in f["gate"][0]}
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
 
-_RULES = "array<struct<gate: string, rules: array<struct<label: string, priority: int, pattern: string>>>>"
+
+_RULES = "array<struct<gate: array<array<string>>, rules: array<struct<label: string, priority: int, pattern: string>>>>"
 _FOUND = "array<struct<start: int, back: int, rank: int, label: string>>"
 
 
@@ -131,17 +161,23 @@ def _unsuppressed(found: Column) -> Column:
     return F.aggregate(found, start, step, lambda s: s["kept"])
 
 
-def detect(text: Column) -> Column:
-    """array<struct<start, end, priority, label>> of a text's detections that aren't suppressed; code points of the lower-cased text."""
+def detect(text: Column, gated: bool = True) -> Column:
+    """array<struct<start, end, priority, label>> of a text's detections that aren't suppressed; code points of the lower-cased text.
+
+    Without gates every rule runs on every text; the result is the same.
+    """
+    table = F.from_json(F.lit(json.dumps(rules())), _RULES)
+
+    def found(low: Column) -> Column:
+        here = F.filter(table, lambda f: F.forall(f["gate"], lambda words: F.exists(words, lambda w: F.contains(low, w)))) if gated else table
+        every = F.flatten(F.transform(here, lambda f: F.flatten(F.transform(f["rules"], lambda r: _matches(low, r)))))
+        return F.transform(_unsuppressed(F.array_sort(every)), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), (-x["rank"]).alias("priority"), x["label"].alias("label")))
+
     low = F.lower(F.coalesce(text, F.lit("")))
-    gate = F.lit(False)
-    for word in GATES:
+    shaped = F.get(F.transform(F.array(low), found), F.lit(0))  # the lower-cased text is made once
+    gate = F.lit(not gated)
+    for word in gates():
         gate = gate | F.contains(low, F.lit(word))
-    table = F.from_json(F.lit(json.dumps(rules())), _RULES)
-    here = F.filter(table, lambda f: F.contains(low, f["gate"]))
-    found = F.flatten(F.transform(here, lambda f: F.flatten(F.transform(f["rules"], lambda r: _matches(low, r)))))
-    kept = _unsuppressed(F.array_sort(found))
-    shaped = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), (-x["rank"]).alias("priority"), x["label"].alias("label")))
     return F.when(gate, shaped).otherwise(F.from_json(F.lit("[]"), "array<struct<start: int, end: int, priority: int, label: string>>"))
 
 

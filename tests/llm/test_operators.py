@@ -311,6 +311,33 @@ def test_license_rules_and_suppression(spark):
             re.compile(rule["pattern"])
 
 
+def test_license_gates_lose_nothing(spark, texts):
+    wanted = {
+        "GNU Library General Public License": {"lgpl"},
+        "https://www.gnu.org/licenses/gpl-3.0.html": {"gpl"},
+        "https://www.gnu.org/licenses/agpl-3.0.html": {"agpl"},
+        "MIT\nLicense": {"mit", "base"},
+        "see https://opensource.org/licenses/MIT\n": {"mit"},
+        "https://www.mozilla.org/MPL/": {"mpl"},
+        "http://www.wtfpl.net": {"wtfpl"},
+        "http://cecill.info": {"cecill"},
+        "eclipse.org/legal/epl": {"epl"},
+        " * under the terms of the GNU General\n *   Public License,\n * version 2": {"gpl-2.0", "base"},
+        "# Apache\n# License, Version 2.0": {"apache-2.0", "base"},
+        "-- CC\n-- BY-SA 4.0": {"cc-by-sa-4.0", "base"},
+        "// all\n// rights reserved": {"proprietary"},
+        "the\tunlicense": {"unlicense"},
+        "limit the access by an account": set(),
+        "gnu " + "\n" * 50_000 + "general": set(),
+    }
+    rows = [*enumerate(wanted), *((100 + i, texts[i]) for i in sorted(texts)[:150])]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(8)
+    got = {r["i"]: r for r in df.select("i", licenses.detect(F.col("t")).alias("d"), licenses.detect(F.col("t"), gated=False).alias("e")).collect()}
+    assert all(r["d"] == r["e"] for r in got.values())
+    for i, (text, labels) in enumerate(wanted.items()):
+        assert {x["label"] for x in got[i]["d"]} == labels - {"base"}, text
+
+
 # --- decontamination ----------------------------------------------------------------------------------
 
 

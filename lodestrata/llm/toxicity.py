@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.labelled import SAMPLE_ROWS, fold, sample_labels
 from lodestrata.llm.logistic import newton, sigmoid
 
-#: Terms of the lexicon at most, and toxic documents that a term must be in at least.
-LEXICON_TERMS, LEAST_DOCS = 500, 4
+#: Toxic documents that a term must be in at least.
+LEAST_DOCS = 4
 
 #: Natural logarithm of how many times as often toxic documents must hold a term.
 LEAST_ODDS = 2.5
@@ -126,9 +126,9 @@ class Automaton:
                 break
             if self.stems[state] is not None:
                 stem = self.stems[state]
-        else:
-            if self.ends[state]:
-                return self.ends[state]
+        end = self.ends[state]  # of the dead state None
+        if end and (end[0] == 0 or stem is None):
+            return end
         return None if stem is None else (1, stem)
 
 
@@ -191,8 +191,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def learn_lexicon(labelled: DataFrame, most: int = LEXICON_TERMS) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems with their log odds, from (doc_id, text, y); at most `most` of either come to the driver."""
+def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with their log odds, from (doc_id, text, y). Words stay where a stem begins them, for their misspellings.
+
+    All terms come to the driver that at least LEAST_DOCS toxic documents hold, far more often than others; the labelled sample bounds them.
+    """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,19 +212,21 @@ def learn_lexicon(labelled: DataFrame, most: int = LEXICON_TERMS) -> tuple[dict[
     odds = F.log((F.col("bad") + 0.1) / (n[1] + 0.2)) - F.log((F.col("n") - F.col("bad") + 0.1) / (n[0] + 0.2))
     best = counts.filter(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     stem = F.col("term").endswith("*")
-    take = lambda cond: [(r["term"].rstrip("*"), r["odds"], r["bad"]) for r in best.filter(cond).orderBy(F.desc("bad"), F.desc("odds"), "term").limit(most).collect()]
+    take = lambda cond: [(r["term"].rstrip("*"), r["odds"], r["bad"]) for r in best.filter(cond).orderBy(F.desc("bad"), F.desc("odds"), "term").collect()]
     words, stems = take(~stem), take(stem)
-    # the shortest stems that explain the longer ones, and words that no stem explains
-    kept: dict[str, float] = {}
+    # the shortest stems that explain the longer ones
+    kept: dict[str, tuple[float, int]] = {}
     for term, weight, bad in sorted(stems, key=lambda x: (len(x[0]), x[0])):
-        if not any(term.startswith(s) for s in kept):
-            kept[term] = weight
-    single = {t: (o, b) for t, o, b in words}
-    for s in list(kept):  # a stem that only begins one frequent word is that word
-        own = [t for t in single if t.startswith(s)]
-        if len(own) == 1 and single[own[0]][1] >= 0.9 * next(b for t, _, b in stems if t == s):
-            del kept[s]
-    return {t: o for t, (o, _) in single.items() if not any(t.startswith(s) for s in kept)}, kept
+        if not any(term[:k] in kept for k in STEM_LENGTHS if k < len(term)):
+            kept[term] = weight, bad
+    begun: dict[str, list[int]] = {}
+    for term, _, bad in words:
+        for k in STEM_LENGTHS:
+            if len(term) >= k and term[:k] in kept:
+                begun.setdefault(term[:k], []).append(bad)
+    # a stem that only begins one frequent word is that word
+    single = {s for s, own in begun.items() if len(own) == 1 and own[0] >= 0.9 * kept[s][1]}
+    return {t: o for t, o, _ in words}, {s: o for s, (o, _) in kept.items() if s not in single}
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> dict:

@@ -465,6 +465,18 @@ def test_automaton_matches_levenshtein():
             assert got[0] == 0
 
 
+def test_words_under_stems_keep_their_misspellings(spark):
+    many = ["".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) + "zqxv" for i in range(700)]
+    bad = ["you idiot", "you idiots", "you idioot"] * 4 + [" ".join(many)] * 4
+    rows = [(i, t, 1) for i, t in enumerate(bad)] + [(100 + i, "you are a friend", 0) for i in range(60)]
+    words, stems = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert {"idiot", "idiots", "idioot", *many} <= set(words)
+    assert "idio" in stems
+    m = toxicity.Matcher(words, stems)
+    assert [(m.lookup(w) or [None])[0] for w in ("idiot", "idioterie", "idot", "odiot", "iduot", "friend")] == [0, 1, 2, 2, 2, None]
+    assert m.lookup(many[-1])[0] == 0
+
+
 def test_quoted_matches_are_told_apart():
     text = 'he said "you idiot" to them'
     at = text.index("idiot")

@@ -27,11 +27,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # of a maximal run nothing is lost by asking
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-#: Weak parts. Each alone is common in harmless text.
+#: Weak parts, as long as their values go. Each alone is common in harmless text.
 WEAK = {
-    "part_id": re.compile(r"""\b(?:user(?:name)?|login|account(?:_?id|_?name)?|client_?id|access_?key_?id|tenant_?id|uid)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.ASCII | re.IGNORECASE),
-    "part_secret": re.compile(r"""\b(?:pwd|pass(?:word|wd|phrase)?|secret|credentials?|auth|private_?key|(?:api_?|access_?|secret_?)?key|token)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,128})""", re.ASCII | re.IGNORECASE),
-    "part_endpoint": re.compile(r"""\b(?:(?:https?|ftp|sftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,256}|(?:host(?:name)?|endpoint|server|database_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,128})""", re.ASCII | re.IGNORECASE),
+    "part_id": re.compile(r"""\b(?:user(?:name)?|login|account(?:_?id|_?name)?|client_?id|access_?key_?id|tenant_?id|uid)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE),
+    "part_secret": re.compile(r"""\b(?:pwd|pass(?:word|wd|phrase)?|secret|credentials?|auth|private_?key|(?:api_?|access_?|secret_?)?key|token)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""", re.ASCII | re.IGNORECASE),
+    "part_endpoint": re.compile(r"""\b(?:(?:https?|ftp|sftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|(?:host(?:name)?|endpoint|server|database_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", re.ASCII | re.IGNORECASE),
 }
 WEAK_WORDS = ("user", "login", "account", "client", "access", "tenant", "uid", "pwd", "pass", "secret", "credential", "auth", "key", "token", "://", "host", "endpoint", "server", "database")
 

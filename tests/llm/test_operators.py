@@ -275,6 +275,16 @@ def test_weak_parts_need_a_complement():
     assert secrets.scan_secrets
 
 
+def test_long_parts_end_where_their_values_do():
+    for text, wanted in (
+        ("user=alice pwd=" + "x.y" * 100, [(0, 10, "part_id"), (11, 315, "part_secret")]),
+        ("https://h.example/" + "a" * 600 + " pwd=hunter22", [(0, 618, "part_endpoint"), (619, 631, "part_secret")]),
+        ("host=" + "h" * 300 + " pwd=hunter22", [(0, 305, "part_endpoint"), (306, 318, "part_secret")]),
+        ("login=" + "u" * 300 + " pwd=hunter22", [(0, 306, "part_id"), (307, 319, "part_secret")]),
+    ):
+        assert sorted(secrets.linked_spans(text, secrets.base_spans(text))) == wanted
+
+
 # --- licenses ----------------------------------------------------------------------------------------
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}

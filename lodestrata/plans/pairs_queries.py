@@ -107,7 +107,7 @@ def bit_tanimoto(spark, d):
 @register("greedy_match")
 def greedy_match(spark, d):
     """Greedy one-to-one matches depend on order; tests compare a plain loop."""
-    p = load(spark, d, "part").select("p_type", "p_partkey", "p_name", "p_size").filter("p_partkey <= 200")
+    p = load(spark, d, "part").select("p_type", "p_partkey", "p_name", "p_size")
     gold = p.filter("p_size % 2 = 0").select(F.col("p_type").alias("doc"), F.col("p_partkey").alias("gold"), F.col("p_name").alias("g"))
     found = p.filter("p_size % 2 = 1").select(F.col("p_type").alias("doc"), F.col("p_partkey").alias("found"), F.col("p_name").alias("f"))
     scored = gold.join(found, "doc").withColumn("score", F.round(0.7 * edit_ratio(F.col("g"), F.col("f")) + 0.3, 6))

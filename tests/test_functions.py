@@ -127,3 +127,12 @@ def test_greedy_match(spark):
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (3, 9)], "a long, b long")
     assert {(r["node"], r["root"]) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (5, 5), (6, 5)}
+
+
+def test_greedy_match_takes_the_whole_table(spark, tmp_path):
+    from lodestrata.plans import registry
+
+    rows = [(i, f"name{i // 2}", "ECONOMY", i % 2) for i in (10, 11, 300, 301, 20_000, 20_001)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.queries()["greedy_match"](spark, str(tmp_path)).collect()
+    assert {(r["gold"], r["found"]) for r in got if r["score"] == 1.0} == {(10, 11), (300, 301), (20_000, 20_001)}

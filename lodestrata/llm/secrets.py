@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -55,11 +56,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _nearest(parts: list[tuple[int, int]], starts: list[int], ends: list[int], start: int, end: int) -> list[tuple[int, int]]:
-    """The parts next to [start, end) on either side (parts are sorted and don't overlap), and one that meets it."""
+def _nearest(parts: list[tuple[int, int]], starts: list[int], furthest: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """The first part after [start, end) and, of those that begin before its end, the one that reaches furthest.
+
+    Parts are sorted and may overlap; furthest[i] is the one of parts[: i + 1] with the largest end.
+    """
     i = bisect.bisect_left(starts, end)
-    j = bisect.bisect_right(ends, start)
-    return [parts[k] for k in {i, i - 1, j - 1, j} if 0 <= k < len(parts)]
+    return parts[i : i + 1] + furthest[i - 1 : i] if i else parts[:1]
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -77,7 +80,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         "part_endpoint": weak["part_endpoint"],
     }
     roles = {k: sorted(set(v)) for k, v in roles.items()}
-    index = {k: (v, [s for s, _ in v], sorted(e for _, e in v)) for k, v in roles.items()}
+    index = {k: (v, [s for s, _ in v], list(itertools.accumulate(v, lambda a, b: max(a, b, key=lambda x: x[1])))) for k, v in roles.items()}
 
     def joined(a: tuple[int, int], b: tuple[int, int]) -> bool:
         first, then = sorted((a, b))

@@ -285,6 +285,12 @@ def test_long_parts_end_where_their_values_do():
         assert sorted(secrets.linked_spans(text, secrets.base_spans(text))) == wanted
 
 
+def test_nested_parts_link_by_the_outer_one():
+    text = "secret = " + "0123456789abcdef" + "-" + "Z" * 164 + " " * 140 + "user=alice"
+    at = text.index("user=")
+    assert (at, at + 10, "part_id") in secrets.linked_spans(text, secrets.base_spans(text))
+
+
 # --- licenses ----------------------------------------------------------------------------------------
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}

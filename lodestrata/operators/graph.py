@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.rank import top_per
+from lodestrata.scratch import scratch_dir
 
 
 def browse(edges: DataFrame, **equal: object) -> DataFrame:
@@ -156,10 +157,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    """A reliable checkpoint in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+        sc.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()

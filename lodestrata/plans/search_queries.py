@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens
-from lodestrata.operators import fts, rank, search, vectors
+from lodestrata.operators import fts, rank, search, text_index, vectors
 from lodestrata.plans.registry import register
 from lodestrata.tables import load
 
@@ -19,28 +19,39 @@ def docs(spark, d):
     return load(spark, d, "documents")
 
 
-def bm25_sql(terms, name="bm25", where="true", prefix=""):
+def ix(spark, d):
+    """The stored index of the documents' text; built at its first use, read by term then."""
+    return text_index.stored(docs(spark, d), "doc_id", {"text": "text"})
+
+
+def bm25_sql(terms, name="bm25", where="true", prefix="", table="documents", key="doc_id", text="text"):
     """CTEs ending in `name` (id, score)."""
     p = prefix or name
+    words = WORDS.replace("text", text)
     held = ", ".join(f"'{t}'" for t in terms)
     df = ", ".join(f"count(*) FILTER (list_contains(w, '{t}')) AS df{i}" for i, t in enumerate(terms))
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     s = " + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(terms)))
     return (
-        f"{p}_w AS (SELECT doc_id AS id, {WORDS} AS w FROM documents WHERE {where}), {p}_s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl, {df} FROM {p}_w), "
+        f"{p}_w AS (SELECT {key} AS id, {words} AS w FROM {table} WHERE {where}), {p}_s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl, {df} FROM {p}_w), "
         f"{p}_h AS (SELECT id, len(w) AS dl, {tf} FROM {p}_w WHERE list_has_any(w, [{held}])), {name} AS (SELECT id, round({s}, 6) AS score FROM {p}_h, {p}_s)"
     )
 
 
 @register("bm25_topk", f"WITH {bm25_sql(TERMS)} SELECT id AS doc_id, score FROM bm25 ORDER BY score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
+    return fts.top(ix(spark, d).bm25(TERMS), 20, "id").withColumnRenamed("id", "doc_id")
+
+
+@register("bm25_scan_topk", f"WITH {bm25_sql(TERMS)} SELECT id AS doc_id, score FROM bm25 ORDER BY score DESC, id LIMIT 20")
+def bm25_scan_topk(spark, d):
+    """The same without an index, by two scans of the text."""
     return fts.top(fts.bm25(docs(spark, d), "doc_id", "text", TERMS), 20, "id").withColumnRenamed("id", "doc_id")
 
 
 @register("fts_index", f"WITH t AS (SELECT doc_id, len({WORDS}) AS dl, unnest({WORDS}) AS term FROM documents), p AS (SELECT term, doc_id, dl, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(dl) AS longest FROM p GROUP BY term")
 def fts_index(spark, d):
-    ix = fts.index(docs(spark, d), "doc_id", {"text": "text"})
-    return ix.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
+    return ix(spark, d).frequencies().select("term", "df", "cf", "longest")
 
 
 @register("fts_fielded_index", """
@@ -54,22 +65,22 @@ def fts_fielded_index(spark, d):
 
 @register("fts_all_terms", f"SELECT doc_id FROM documents WHERE list_has_all({WORDS}, ['thing', 'ther', 'eron'])")
 def fts_all_terms(spark, d):
-    return fts.match_all(docs(spark, d), "doc_id", "text", TERMS).withColumnRenamed("id", "doc_id")
+    return ix(spark, d).match_all(TERMS).withColumnRenamed("id", "doc_id")
 
 
 @register("fts_any_terms", f"SELECT doc_id FROM documents WHERE list_has_any({WORDS}, ['thing', 'ther', 'eron'])")
 def fts_any_terms(spark, d):
-    return fts.match_any(docs(spark, d), "doc_id", "text", TERMS).withColumnRenamed("id", "doc_id")
+    return ix(spark, d).match_any(TERMS).withColumnRenamed("id", "doc_id")
 
 
 @register("fts_prefix", f"SELECT doc_id FROM documents WHERE len(list_filter({WORDS}, lambda x: starts_with(x, 'thingb'))) > 0")
 def fts_prefix(spark, d):
-    return fts.match_prefix(docs(spark, d), "doc_id", "text", "thingb").withColumnRenamed("id", "doc_id")
+    return ix(spark, d).match_prefix("thingb").withColumnRenamed("id", "doc_id")
 
 
 @register("fts_phrase", f"SELECT doc_id FROM documents WHERE contains({PADDED}, ' of the ')")
 def fts_phrase(spark, d):
-    return fts.match_phrase(docs(spark, d), "doc_id", "text", ["of", "the"]).withColumnRenamed("id", "doc_id")
+    return ix(spark, d).match_phrase(["of", "the"]).withColumnRenamed("id", "doc_id")
 
 
 _NEAR = "WITH a AS (SELECT doc_id, {w} AS w FROM documents), p AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM a), x AS (SELECT doc_id, pos FROM p WHERE term = '{t0}'), y AS (SELECT doc_id, pos FROM p WHERE term = '{t1}') SELECT DISTINCT x.doc_id FROM x JOIN y ON x.doc_id = y.doc_id AND abs(x.pos - y.pos) <= {gap} + 1"
@@ -77,7 +88,7 @@ _NEAR = "WITH a AS (SELECT doc_id, {w} AS w FROM documents), p AS (SELECT doc_id
 
 @register("fts_near", _NEAR.format(w=WORDS, t0="thing", t1="ther", gap=5))
 def fts_near(spark, d):
-    return fts.match_near(docs(spark, d), "doc_id", "text", ["thing", "ther"], 5).withColumnRenamed("id", "doc_id")
+    return ix(spark, d).match_near(["thing", "ther"], 5).withColumnRenamed("id", "doc_id")
 
 
 @register("fts_field_filter", "SELECT doc_id, 'source' AS field FROM documents WHERE list_contains(regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+'), 'src3')")
@@ -95,7 +106,7 @@ def _cascade_sql():
 @register("fts_mode_cascade", _cascade_sql())
 def fts_mode_cascade(spark, d):
     clauses = fts.compile_query("thing ther", "auto")
-    fused = rank.fuse(fts.cascade(docs(spark, d), "doc_id", "text", clauses))
+    fused = rank.fuse(ix(spark, d).cascade(clauses))
     return fused.select(F.col("id").alias("doc_id"), "score", "first_list")
 
 
@@ -103,7 +114,7 @@ def fts_mode_cascade(spark, d):
 WITH m AS (SELECT doc_id AS o_orderkey FROM documents WHERE list_has_any({WORDS}, ['thing', 'ther', 'eron']))
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(year(o_orderdate) // 10 * 10 AS BIGINT) AS decade, count(*) AS n, count(DISTINCT o_orderkey) AS n_papers FROM m JOIN orders USING (o_orderkey) GROUP BY ALL""")
 def match_time_histogram(spark, d):
-    m = fts.match_any(docs(spark, d), "doc_id", "text", TERMS).select(F.col("id").alias("o_orderkey"))
+    m = ix(spark, d).match_any(TERMS).select(F.col("id").alias("o_orderkey"))
     return fts.time_distribution(m, load(spark, d, "orders"), "o_orderkey", F.year("o_orderdate")).withColumn("decade", F.col("decade").cast("long"))
 
 
@@ -225,7 +236,7 @@ def query_placement(spark, d):
 WITH {bm25_sql(TERMS)}, t AS (SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 50)
 SELECT doc_id, round(len(list_intersect({WORDS}, ['thing', 'ther', 'eron'])) / 3.0::DOUBLE, 6) AS pair_score, score FROM t JOIN documents ON doc_id = id ORDER BY pair_score DESC, score DESC, doc_id LIMIT 20""")
 def pair_scorer_rerank(spark, d):
-    best = fts.top(fts.bm25(docs(spark, d), "doc_id", "text", TERMS), 50, "id").withColumnRenamed("id", "doc_id")
+    best = fts.top(ix(spark, d).bm25(TERMS), 50, "id").withColumnRenamed("id", "doc_id")
     pairs = docs(spark, d).join(F.broadcast(best), "doc_id")  # fifty rows
     return pairs.select("doc_id", F.round(vectors.token_overlap_score(TERMS, tokens(F.col("text"))), 6).alias("pair_score"), "score").orderBy(F.desc("pair_score"), F.desc("score"), "doc_id").limit(20)
 
@@ -251,26 +262,55 @@ def cites(spark, d):
 
 
 def corpus(spark, d):
-    return search.Corpus(docs(spark, d), cites=cites(spark, d), vectors=emb(spark, d))
+    return search.Corpus(docs(spark, d), cites=cites(spark, d), vectors=emb(spark, d), index=ix(spark, d))
+
+
+def full_corpus(spark, d):
+    """With a taxonomy (language / source) and authors (nations by key) in the roles that the tables lack."""
+    c = corpus(spark, d)
+    path = F.array("lang", "source")
+    prefixes = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.array_join(F.slice(path, F.lit(1), k), "/"))
+    c.members = docs(spark, d).select(F.col("doc_id").alias("id"), F.lit(2).alias("depth"), F.explode(prefixes).alias("prefix"))
+    by_key = load(spark, d, "nation").groupBy(F.concat(F.lit("src"), (F.col("n_nationkey") % 20).cast("string")).alias("paper")).agg(F.collect_list("n_name").alias("authors"))
+    c.authors = by_key.join(c.cites, "paper").withColumnRenamed("c", "cites")
+    return c
+
+
+def asked(spark):
+    nodes = spark.createDataFrame([("en", 1.0), ("de/src3", 1.5)], "path string, match double")
+    return search.Asked(nodes=nodes, author="an", title="text", synonyms={"ther": ["the"]})
+
+
+_GUIDED_SQL = (
+    ", ".join(f"g{i} AS (SELECT DISTINCT {i} AS q, source FROM documents WHERE list_contains({WORDS}, '{t}'))" for i, t in enumerate(TERMS))
+    + ", gp AS (SELECT source, round(count(*) * count(*) * ln(2 + any_value(c)), 6) AS p FROM (" + " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(len(TERMS))) + ") g JOIN cites USING (source) GROUP BY source ORDER BY p DESC, source LIMIT 60)"
+)
+
+
+def _of_papers(papers, alias):
+    """The best claim by text of each paper (source, p)."""
+    return f"{alias} AS (SELECT id, p, source FROM (SELECT b.id, b.score, source, p, row_number() OVER (PARTITION BY source ORDER BY b.score DESC, b.id) AS rn FROM bm25 b JOIN documents ON doc_id = b.id JOIN {papers} USING (source)) WHERE rn = 1)"
 
 
 _LISTS = f"""{bm25_sql(TERMS)}, {_CITES},
 tx AS (SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 200), vc AS (SELECT vec_id AS id, round({_DOT.format(a='embedding', b=_QV)}, 6) AS score FROM embeddings WHERE round({_DOT.format(a='embedding', b=_QV)}, 6) >= 0.2 ORDER BY score DESC, vec_id LIMIT 200),
 au AS (SELECT id, c, score FROM bm25 JOIN documents ON doc_id = id JOIN cites USING (source) ORDER BY c DESC, score DESC, id LIMIT 200),
-lists AS (SELECT 0 AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM tx UNION ALL SELECT 1, id, row_number() OVER (ORDER BY score DESC, id) FROM vc UNION ALL SELECT 2, id, row_number() OVER (ORDER BY c DESC, score DESC, id) FROM au),
+{_GUIDED_SQL}, {_of_papers("gp", "gd")},
+lists AS (SELECT 0 AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM tx UNION ALL SELECT 1, id, row_number() OVER (ORDER BY score DESC, id) FROM vc UNION ALL SELECT 2, id, row_number() OVER (ORDER BY c DESC, score DESC, id) FROM au
+UNION ALL SELECT 6, id, row_number() OVER (ORDER BY p DESC, source, id) FROM gd),
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM lists GROUP BY id)"""
 
 
-def _hybrid_sql(alpha="1", kind="true", limit=20, offset=0, on=("text", "vector", "authority")):
-    lists = _LISTS
-    for name, alias in (("text", "tx"), ("vector", "vc"), ("authority", "au")):
+def _hybrid_sql(alpha="1", kind="true", limit=20, offset=0, on=("text", "vector", "authority", "guided"), lists=_LISTS, rerank=False):
+    for name, alias in (("text", "tx"), ("vector", "vc"), ("authority", "au"), ("guided", "gd")):
         if name not in on:
             lists = lists.replace(f"FROM {alias}", f"FROM {alias} WHERE false")
     simmed = f"sm AS (SELECT f.id, f.score + 0.05::DOUBLE * greatest(coalesce({_DOT.format(a='embedding', b=_QV)}, 0), 0) AS score FROM fused f LEFT JOIN embeddings ON vec_id = f.id)" if "vector" in on else "sm AS (SELECT * FROM fused)"
     return f"""WITH {lists}, {simmed},
 h AS (SELECT doc_id AS id, source AS paper, lang AS kind, round(sm.score, 6) AS s, CAST(c AS DOUBLE) AS c FROM sm JOIN documents ON doc_id = sm.id JOIN cites USING (source)),
 b AS (SELECT id, paper, kind, round(CASE WHEN c > 0 THEN s * (1 + {alpha} * ln(1 + c) / ln(2 + (SELECT max(c) FROM h))) ELSE s END, 6) AS score FROM h),
-k AS (SELECT * FROM b WHERE {kind}), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS position FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY position) AS rn FROM p)
+n AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS _r FROM b), r AS (SELECT n.id, paper, kind, CASE WHEN _r <= 50 THEN round(score + len(list_intersect({WORDS}, ['thing', 'ther', 'eron'])) / 3.0::DOUBLE, 6) ELSE score END AS score FROM n JOIN documents ON doc_id = n.id),
+k AS (SELECT * FROM {"r" if rerank else "b"} WHERE {kind}), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS position FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY position) AS rn FROM p)
 SELECT CAST(row_number() OVER (ORDER BY CAST(rn > 1 AS INTEGER), position) AS INTEGER) AS place, id, paper, kind, score, count(*) OVER () AS total FROM o ORDER BY place LIMIT {limit} OFFSET {offset}"""
 
 
@@ -290,10 +330,73 @@ def hybrid_search_no_vectors(spark, d):
     return search.search(corpus(spark, d), TERMS, None, search.Knobs(on={"text": True, "authority": True}))
 
 
-@register("hybrid_search_feedback")
+_FEEDBACK = f"""
+fs AS (SELECT id FROM bm25 ORDER BY score DESC, id LIMIT 30), ft AS (SELECT unnest(list_distinct({WORDS})) AS term FROM documents JOIN fs ON doc_id = id),
+fn AS (SELECT term, count(*) AS n FROM ft WHERE length(term) > 3 AND term NOT IN ('thing', 'ther', 'eron') GROUP BY 1 HAVING count(*) >= 2),
+fm AS (SELECT term FROM fn ORDER BY round(n * CASE WHEN length(term) <= 6 THEN 1.5::DOUBLE ELSE 1 END, 6) DESC, term LIMIT 8),
+fp AS (SELECT doc_id AS id, len({WORDS}) AS dl, unnest({WORDS}) AS term FROM documents), fq AS (SELECT id, dl, term, count(*) AS tf FROM fp JOIN fm USING (term) GROUP BY ALL), fd AS (SELECT term, count(*) AS df FROM fq GROUP BY 1),
+fb AS (SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM fq JOIN fd USING (term), bm25_s GROUP BY id),
+fx AS (SELECT id, score FROM fb ORDER BY score DESC, id LIMIT 200),
+lists AS (SELECT 3 AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fx UNION ALL """
+_WITH_FEEDBACK = _LISTS.replace("lists AS (", _FEEDBACK.strip() + " ")
+
+_TITLED = "papers AS (SELECT source AS id, min(text) AS text FROM documents GROUP BY source)"
+
+
+def _paper_recall_sql(terms, k, synonyms):
+    """CTEs ending in rp (source, p)."""
+    crossed = [[x, core] for w in terms for x in synonyms.get(w, []) for core in terms if core not in (w, x)]
+    pairs = [*([a, b] for i, a in enumerate(terms) for b in terms[i + 1 :]), *crossed]
+    held = lambda t: f"list_has_all({WORDS}, [{', '.join(repr(x) for x in t)}])"
+    near = " AND ".join(f"list_contains(w[greatest(i - {10 + len(terms) - 1}, 1):i], '{t}')" for t in terms)
+    ctes = [_TITLED, bm25_sql(terms, "pb", table="papers", key="id"), "pc AS (SELECT id, score, c FROM pb JOIN cites ON source = id)", f"pn AS (SELECT DISTINCT id FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM pb_w) WHERE {near})"]
+    best = lambda no, frm, where: f"SELECT {no} AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT x.id, x.score FROM {frm} x JOIN papers p ON p.id = x.id WHERE {where} ORDER BY x.score DESC, x.id LIMIT 60)"
+    lists = [best(0, "pb", "true"), best(1, "pb", "true"), best(2, "pb", held(terms)), best(3, "pb", "x.id IN (SELECT id FROM pn)")]
+    lists += [f"SELECT {no}, id, row_number() OVER (ORDER BY c DESC, id) FROM (SELECT * FROM pc ORDER BY c DESC, id LIMIT 60)" for no in (4, 5)]
+    for i, pair in enumerate(pairs):
+        ctes.append(bm25_sql(pair, f"pp{i}", table="papers", key="id"))
+        lists.append(best(6 + i, f"pp{i}", held(pair)))
+    ctes += [f"pl AS ({' UNION ALL '.join(lists)})", "pf AS (SELECT id, round(sum(1.0::DOUBLE / (10 + rank)), 6) AS score FROM pl GROUP BY id)", "pz AS (SELECT id, score, CAST(coalesce(c, 0) AS DOUBLE) AS c FROM pf LEFT JOIN cites ON source = id)"]
+    ctes.append(f"rp AS (SELECT id AS source, round(CASE WHEN c > 0 THEN score * (1 + 3 * ln(1 + c) / ln(2 + (SELECT max(c) FROM pz))) ELSE score END, 6) AS p FROM pz ORDER BY p DESC, source LIMIT {k})")
+    return ", ".join(ctes)
+
+
+_FULL = _LISTS.replace("lists AS (", f"""tn(path, match) AS (VALUES ('en', 1.0::DOUBLE), ('de/src3', 1.5::DOUBLE)), tm AS (SELECT doc_id AS id, unnest([lang, lang || '/' || source]) AS prefix FROM documents),
+tr AS (SELECT id, round(max(match / (1 + 0.3::DOUBLE * (2 - len(string_split(path, '/'))))), 6) AS score FROM tm JOIN tn ON prefix = path GROUP BY id ORDER BY score DESC, id LIMIT 200),
+{_paper_recall_sql(TERMS, 60, {'ther': ['the']})}, {_of_papers('rp', 'pr')},
+an AS (SELECT paper, c AS cites FROM (SELECT 'src' || (n_nationkey % 20) AS paper, bool_or(contains(lower(n_name), 'an')) AS hit FROM nation GROUP BY 1) JOIN cites ON source = paper WHERE hit),
+ar AS (SELECT id, cites, paper, rn FROM (SELECT doc_id AS id, cites, paper, row_number() OVER (PARTITION BY paper ORDER BY doc_id) AS rn FROM documents JOIN an ON source = paper) WHERE rn <= 3 ORDER BY cites DESC, paper, rn LIMIT 60),
+lists AS (SELECT 4 AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM tr UNION ALL SELECT 5, id, row_number() OVER (ORDER BY p DESC, source, id) FROM pr
+UNION ALL SELECT 7, id, row_number() OVER (ORDER BY cites DESC, paper, rn) FROM ar UNION ALL SELECT 8, id, row_number() OVER (ORDER BY cites DESC, paper, rn) FROM ar UNION ALL """)
+
+
+@register("hybrid_search_full", _hybrid_sql(lists=_FULL))
+def hybrid_search_full(spark, d):
+    """Every channel: text, vectors, authority, taxonomy, papers, claim-guided papers, and the author twice."""
+    return search.search(full_corpus(spark, d), TERMS, qvec(spark, d), asked=asked(spark))
+
+
+@register("hybrid_search_cached", _hybrid_sql(lists=_FULL))
+def hybrid_search_cached(spark, d):
+    """The second answer comes from the result cache."""
+    cache = search.ResultCache()
+    c, q = full_corpus(spark, d), qvec(spark, d)
+    for _ in range(2):
+        found = cache.get(spark, (d, *TERMS), lambda: search.search(c, TERMS, q, asked=asked(spark)))
+    return found
+
+
+@register("channel_profile", f"WITH {_FULL} SELECT CASE list_no WHEN 0 THEN 'text' WHEN 1 THEN 'vector' WHEN 2 THEN 'authority' WHEN 4 THEN 'tree' WHEN 5 THEN 'paper' WHEN 6 THEN 'guided' ELSE 'author' END AS channel, count(*) AS n, true AS timed FROM lists GROUP BY 1")
+def channel_profile(spark, d):
+    """What each channel finds by itself, and that it was timed."""
+    rows = search.profile(full_corpus(spark, d), TERMS, qvec(spark, d), asked=asked(spark))
+    return spark.createDataFrame([(r["channel"], r["n"], r["seconds"] > 0) for r in rows if r["n"]], "channel string, n bigint, timed boolean")
+
+
+@register("hybrid_search_feedback", _hybrid_sql(lists=_WITH_FEEDBACK, rerank=True))
 def hybrid_search_feedback(spark, d):
     """With feedback terms and the pair scorer; its feedback terms come from the text channel at run time."""
-    return search.search(corpus(spark, d), TERMS, qvec(spark, d), search.Knobs(on={"text": True, "vector": True, "authority": True, "feedback": True, "rerank": True}))
+    return search.search(corpus(spark, d), TERMS, qvec(spark, d), search.Knobs(on=search.Knobs().on | {"feedback": True, "rerank": True}))
 
 
 @register("channel_pools", f"WITH {_LISTS} SELECT CAST(list_no AS INTEGER) AS list_no, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM lists GROUP BY list_no")
@@ -310,7 +413,7 @@ def rrf_fusion(spark, d):
 
 @register("citation_boost", f"WITH {bm25_sql(TERMS)}, {_CITES}, h AS (SELECT id, score, CAST(c AS DOUBLE) AS c FROM bm25 JOIN documents ON doc_id = id JOIN cites USING (source)) SELECT id, round(CASE WHEN c > 0 THEN score * (1 + 3 * ln(1 + c) / ln(2 + (SELECT max(c) FROM h))) ELSE score END, 6) AS score FROM h")
 def citation_boost(spark, d):
-    own = fts.bm25(docs(spark, d), "doc_id", "text", TERMS).join(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("paper")), "id").join(cites(spark, d), "paper")
+    own = ix(spark, d).bm25(TERMS).join(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("paper")), "id").join(cites(spark, d), "paper")
     return rank.citation_boost(own, F.col("c"), 3.0).select("id", "score")
 
 
@@ -319,14 +422,14 @@ WITH {bm25_sql(TERMS)}, {_CITES}, h AS (SELECT id, score AS b, CAST(c AS DOUBLE)
 SELECT id, round(0.5::DOUBLE * (b - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + 0.25::DOUBLE * ln(1 + c) / ln(2 + m) + 0.15::DOUBLE * CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.7 WHEN 'fr' THEN 0.4 ELSE 0.5 END + 0.1::DOUBLE * CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.5 END, 6) AS score FROM h, e""")
 def multi_signal_score(spark, d):
     facts = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("paper"), "lang", "n_chars")
-    own = fts.bm25(docs(spark, d), "doc_id", "text", TERMS).join(facts, "id").join(cites(spark, d), "paper")
+    own = ix(spark, d).bm25(TERMS).join(facts, "id").join(cites(spark, d), "paper")
     conf = F.when(F.col("lang") == "en", "high").when(F.col("lang") == "de", "medium").when(F.col("lang") == "fr", "low").otherwise("none")
     return rank.multi_signal(own, F.col("score"), F.col("c"), conf, F.col("n_chars") > 2000).select("id", "score")
 
 
 @register("cap_per_source", f"WITH {bm25_sql(TERMS)}, t AS (SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 100), p AS (SELECT id, source, row_number() OVER (ORDER BY score DESC, id) AS position FROM t JOIN documents ON doc_id = id), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS rn FROM p) SELECT id, source, CAST(position AS INTEGER) AS position, CAST(row_number() OVER (ORDER BY CAST(rn > 1 AS INTEGER), position) AS INTEGER) AS place FROM o")
 def cap_per_source(spark, d):
-    best = fts.top(fts.bm25(docs(spark, d), "doc_id", "text", TERMS), 100, "id").join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
+    best = fts.top(ix(spark, d).bm25(TERMS), 100, "id").join(docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id")
     return rank.cap_stable(rank.ranked(best, F.desc("score"), F.col("id"), name="position"), "source", "position").select("id", "source", "position", "place")
 
 
@@ -341,10 +444,9 @@ def paper_breadth_score(spark, d):
     return rank.breadth(out, cites(spark, d), 30).select("paper", "n_queries", "c", "score")
 
 
-@register("paper_recall")
+@register("paper_recall", f"WITH {_CITES}, {_paper_recall_sql(TERMS, 60, {'ther': ['the']})} SELECT source AS paper, p AS score FROM rp")
 def paper_recall(spark, d):
-    """Fields, near terms and citations fused; its parts have oracles of their own."""
-    return search.paper_recall(corpus(spark, d), "text", ["thing", "ther"], 60)
+    return search.paper_recall(corpus(spark, d), "text", TERMS, 60, synonyms={"ther": ["the"]})
 
 
 @register("tree_recall", """
@@ -372,21 +474,27 @@ def author_recall(spark, d):
 WITH {bm25_sql(TERMS)}, s AS (SELECT id FROM bm25 ORDER BY score DESC, id LIMIT 30), t AS (SELECT unnest(list_distinct({WORDS})) AS term FROM documents JOIN s ON doc_id = id), n AS (SELECT term, count(*) AS n FROM t WHERE length(term) > 3 AND term NOT IN ('thing', 'ther', 'eron') GROUP BY 1 HAVING count(*) >= 2)
 SELECT term, n, round(n * CASE WHEN length(term) <= 6 THEN 1.5::DOUBLE ELSE 1 END, 6) AS weight FROM n ORDER BY weight DESC, term LIMIT 20""")
 def prf_terms(spark, d):
-    seeds = fts.top(fts.bm25(docs(spark, d), "doc_id", "text", TERMS), 30, "id")
+    seeds = fts.top(ix(spark, d).bm25(TERMS), 30, "id")
     return search.feedback_terms(corpus(spark, d), seeds, TERMS)
 
 
-@register("multi_query_search")
+_MANY = [["thing"], ["ther", "eron"], ["thed", "erin"]]
+
+
+@register("multi_query_search", f"""
+WITH {', '.join(bm25_sql(t, f'mq{i}') for i, t in enumerate(_MANY))}, l AS ({' UNION ALL '.join(f"SELECT {i} AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM mq{i} ORDER BY score DESC, id LIMIT 200)" for i in range(3))}),
+f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM l GROUP BY id), p AS (SELECT id, source AS paper, score, row_number() OVER (ORDER BY score DESC, id DESC) AS position FROM f JOIN documents ON doc_id = id), o AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY position) AS rn FROM p)
+SELECT CAST(row_number() OVER (ORDER BY CAST(rn > 1 AS INTEGER), position) AS INTEGER) AS place, id, paper, score FROM o ORDER BY place LIMIT 20""")
 def multi_query_search(spark, d):
-    """Several queries in one job; fusion and caps have oracles of their own."""
-    return search.search_many(corpus(spark, d), [["thing"], ["ther", "eron"], ["thed", "erin"]])
+    """Several queries in one job."""
+    return search.search_many(corpus(spark, d), _MANY)
 
 
 _T100 = f"{bm25_sql(TERMS)}, t AS (SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 100), f AS (SELECT id, score, source, lang, text, n_chars FROM t JOIN documents ON doc_id = id)"
 
 
 def top100(spark, d):
-    best = fts.top(fts.bm25(docs(spark, d), "doc_id", "text", TERMS), 100, "id")
+    best = fts.top(ix(spark, d).bm25(TERMS), 100, "id")
     return docs(spark, d).withColumnRenamed("doc_id", "id").join(F.broadcast(best), "id")  # a hundred rows
 
 

@@ -5,14 +5,14 @@ Each takes a streaming DataFrame; `replay` runs one to its end with availableNow
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.scratch import scratch_dir
+
 # Requests a minute and a day that a tier may make.
 LIMITS = {"anon": (100, 5_000), "tier1": (200, 20_000), "tier2": (500, 100_000), "tier3": (1_000, 500_000)}
 
@@ -25,8 +25,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, ts: str) -> DataFr
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), "stream")
+    return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:

@@ -4,100 +4,76 @@ Each input partition sorts its normalised bytes and collapses equal neighbours (
 sampled splitters range-partition the runs' texts; an external sort places equals adjacent, and full comparisons of
 neighbours merge them. A text of which a third of all rows are copies thus reaches the sort as one row per input
 partition, whatever its number of copies.
+
+Which row stays and how many rows a text has comes from that sort; a row finds its class again by the SHA-256 of its
+normalised text, so that whole texts move once only. Normalising, digests, sorting and the merge of runs are built-in
+expressions; the one Python step collapses the neighbours of a run, on Arrow columns.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.runtime import attach, keep_ids, written
 
-#: Deleted before texts are compared: [\x20\x09-\x0D], all single bytes in UTF-8.
-WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Deleted before texts are compared: [\x20\x09-\x0D].
+WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 #: Bytes of the normalised text in a range key; the digest orders texts that share them, so splitters stay small.
 PREFIX_BYTES = 32
 
 _RUN = "norm binary, n_cp long, doc_id long, n long"
-_RANGED = "prefix binary, digest binary, norm binary, n_cp long, doc_id long, n long"
-_CLASS = "digest binary, keep_id long, group_size long"
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield doc_id, text or ""
-
+_RUN_NAMES = ["norm", "n_cp", "doc_id", "n"]
 
-def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(text.encode().translate(None, WHITE_SPACE), len(text), doc_id, 1) for doc_id, text in _texts(batch)]
-        yield _batch(rows, ("norm", "n_cp", "doc_id", "n"), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(doc_id, hashlib.sha256(text.encode().translate(None, WHITE_SPACE)).digest()) for doc_id, text in _texts(batch)]
-        yield _batch(rows, ("doc_id", "digest"), (pa.int64(), pa.binary()))
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    norm = F.translate(text, WHITE_SPACE, "").cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_cp"), norm.alias("norm"))
 
-def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
-
-def _first(a: tuple, b: tuple) -> tuple:
-    """Of two (code points, doc_id) the one that stays: most code points, then smallest id; a null id comes last."""
-    key = lambda x: (-x[0], x[1] is None, x[1] or 0)
-    return min(a, b, key=key)
-
-
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Streams sorted rows and yields (norm, n_cp, doc_id, n) once for each stretch of equal neighbours."""
-    norm, best, n = None, None, 0
-    for batch in batches:
-        at = {name: batch.column(name).to_pylist() for name in ("norm", "n_cp", "doc_id", "n")}
-        for text, n_cp, doc_id, count in zip(at["norm"], at["n_cp"], at["doc_id"], at["n"], strict=True):
-            if n and text == norm:
-                best, n = _first(best, (n_cp, doc_id)), n + count
-                continue
-            if n:
-                yield norm, *best, n
-            norm, best, n = text, (n_cp, doc_id), count
-    if n:
-        yield norm, *best, n
-
-
-def _in_batches(rows: Iterator[tuple], names: tuple, kinds: tuple, most_rows: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes))
-        if len(held) >= most_rows or size >= most_bytes:
-            yield _batch(held, names, kinds)
-            held, size = [], 0
-    yield _batch(held, names, kinds)
+def _digest(norm: str) -> Column:
+    return F.unhex(F.sha2(F.col(norm), 256))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((norm[:PREFIX_BYTES], hashlib.sha256(norm).digest(), norm, n_cp, doc_id, n) for norm, n_cp, doc_id, n in _collapse(batches))
-    yield from _in_batches(rows, ("prefix", "digest", "norm", "n_cp", "doc_id", "n"), (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((hashlib.sha256(norm).digest(), doc_id, n) for norm, _, doc_id, n in _collapse(batches))
-    yield from _in_batches(rows, ("digest", "keep_id", "group_size"), (pa.binary(), pa.int64(), pa.int64()))
+    """Streams rows in order of norm and yields one for each stretch of equal neighbours, with the row that stays and the sum of n."""
+    last = None
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays(batch.columns, _RUN_NAMES)  # without what the input says of nulls
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        if not batch.num_rows:
+            continue
+        norm, ids = batch.column("norm"), batch.column("doc_id")
+        edges = np.concatenate([[0], np.flatnonzero(pc.not_equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)) + 1])
+        run = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, batch.num_rows)))
+        # most code points, then the smallest id; a null id comes last
+        order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), -batch.column("n_cp").to_numpy(), run))
+        best = batch.take(pa.array(order[edges]))
+        n = pa.array(np.add.reduceat(batch.column("n").to_numpy(), edges), pa.int64())
+        best = pa.RecordBatch.from_arrays([best.column("norm"), best.column("n_cp"), best.column("doc_id"), n], _RUN_NAMES)
+        yield best[:-1]
+        last = best.take(pa.array([best.num_rows - 1]))  # a copy, so that the batch can go
+    if last is not None:
+        yield last
 
 
 def content_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct normalised text: digest (SHA-256 of it), keep_id, group_size."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    runs = rows.mapInArrow(_normalise, _RUN).sortWithinPartitions("norm").mapInArrow(_runs, _RANGED)
-    return runs.repartitionByRange("prefix", "digest").sortWithinPartitions("norm").mapInArrow(_merged, _CLASS)
+    rows = _rows(docs, id_col, text_col).select("norm", "n_cp", "doc_id", F.lit(1).cast("long").alias("n"))
+    runs = rows.sortWithinPartitions("norm").mapInArrow(_runs, _RUN)
+    ranged = runs.select(F.substring("norm", 1, PREFIX_BYTES).alias("prefix"), _digest("norm").alias("digest"), "norm", "n_cp", "doc_id", "n")
+    first = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("without"), "doc_id"))
+    # the ranges keep equal texts together, so this sorts and compares neighbours in place: no second exchange
+    merged = ranged.repartitionByRange("prefix", "digest").groupBy("prefix", "digest", "norm").agg(first.alias("first"), F.sum("n").alias("group_size"))
+    return merged.select("digest", F.col("first.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +85,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays. An empty table gives no rows; other columns are ignored.
     """
     classes = written(content_classes(docs, id_col, text_col), "content-classes")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = written(rows.mapInArrow(_digests, "doc_id long, digest binary"), "content-members")
+    members = written(_rows(docs, id_col, text_col).select("doc_id", _digest("norm").alias("digest")), "content-members")
     found = attach(members, classes, "digest", "group_size", members.count())
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -1,10 +1,16 @@
 """Main-text extraction by a maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. Words score by the place they stand in (the nearest telling container and block),
-tags score negative; the weights are log odds from labelled pages, which are pages whose markup names the article
-(article, main). One linear scan finds the contiguous region with the largest sum. The text is that of the region,
-without what is never content: scripts, styles, forms, and containers that name themselves menus, adverts, notices,
-comments and the like.
+A page is a sequence of words and tags. A word's score is a sum of log odds: of the block it stands in, whether it is a
+link, how long its block is and how much of that is links, whether the page's own article element holds it, and what its
+container calls itself; tags score negative. The weights are learned from labelled pages, which are pages whose markup
+names the article (article, main). One linear scan finds the contiguous region with the largest sum.
+
+Of the region, what markup says is never content goes (scripts, styles, forms, menus, footers, hidden parts). A container
+that names itself an advert, a notice, comments and the like has a negative weight for its words: its blocks go where
+their sum is negative, which a clear name brings about anywhere and a vague one (related, legal, share) only where the
+rest doesn't look like an article.
+
+A page is read once from left to right, so the work grows with its length whatever it holds.
 """
 
 from __future__ import annotations
@@ -25,155 +31,252 @@ SAMPLE_PAGES = 4000
 #: Elements whose content is not text of the page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "option", "button", "datalist", "noframes", "xmp"}
 #: Elements that end a block.
-BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never part of an article, and words in class, id or role that say so.
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
+    "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption",
+}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that are never part of an article.
 NEVER = {"nav", "aside", "footer", "form", "menu", "dialog", "head"}
-NAMES = {
-    "ad": "ad ads adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner",
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager tabs sitemap skip",
-    "side": "sidebar aside related recommended recommendations trending widget widgets teaser share sharing social",
-    "foot": "footer copyright legal disclaimer colophon contentinfo complementary masthead",
-    "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login",
-    "comment": "comment comments commentlist disqus respond replies reply discussion",
-}
-_NAMED = {word: kind for kind, words in NAMES.items() for word in words.split()}
-_HEADER = {"header", "masthead"}
+#: Words of class, id or role by which a container says what it is; and those that say it less clearly.
+CLEAR = {
+    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
+    "toolbar", "pagination", "pager", "sitemap", "sidebar", "footer", "contentinfo", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "paywall", "newsletter", "subscribe",
+    "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies",
+}
+VAGUE = {
+    "promo", "promotion", "promoted", "banner", "tabs", "skip", "aside", "related", "recommended", "recommendations", "trending", "widget", "widgets", "teaser", "share", "sharing", "social",
+    "copyright", "legal", "disclaimer", "colophon", "complementary", "masthead", "notice", "notices", "alert", "subscription", "reply", "discussion",
+}
 _CONTENT = {"article", "main"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.DOTALL)
-_NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
+_TO_QUOTE = re.compile(r"""[^>"']*""")
+_CLOSE = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW}
+_NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 
-#: Weights of places that no labelled page shows, in the same units (natural logarithm of odds).
-PRIOR_WORD = {"p": 1.0, "h1": 0.8, "h2": 0.6, "h3": 0.5, "blockquote": 0.8, "pre": 0.6, "li": 0.1, "td": 0.1}
-PRIOR_OTHER, PRIOR_LINK, PRIOR_TAG, PRIOR_WEIGHT = 0.2, -1.0, -0.3, 5.0
-
-
-def _kind(tag: str, attributes: str, in_content: bool) -> str:
-    """What a container says that it is: content, a kind of NAMES, a tag of NEVER, hidden, or nothing."""
-    if tag in NEVER:
-        return tag
-    if tag in _HEADER and not in_content:
-        return "header"
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return "hidden"
-        if tag not in ("html", "body"):
-            for m in _NAMING.finditer(attributes):
-                for word in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-                    if word in _NAMED:
-                        return _NAMED[word]
-                    if word in ("article", "main") and "itemprop" not in attributes and tag in ("div", "section") and m[0].lower().startswith("role"):
-                        return "content"
-    return "content" if tag in _CONTENT else ""
-
-
-def items(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
-    """The page as (kind, key, dropped, labelled as content, text): kind "t" for a run of text, "b" for a tag that ends a block, "i" for another tag."""
-    stack: list[tuple[str, str]] = []  # (tag, kind)
-    dropped = content = 0
-    at, end = 0, len(page)
-    low = None
-
-    def place() -> str:
-        block = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-        named = next((k for _, k in reversed(stack) if k), "")
-        return f"{named}/{block}" + ("/a" if any(t == "a" for t, _ in stack) else "")
-
-    while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not page[at:stop].isspace():
-            yield "t", place(), bool(dropped), content > 0 and not dropped, page[at:stop]
-        elif stop > at:
-            yield "t", "", bool(dropped), False, " "
-        if not m:
+#: Weights of places that no labelled page shows, in the same units (natural logarithm of odds), and how many words they count as.
+PRIOR = {
+    "w:p": 1.0, "w:h1": 0.8, "w:h2": 0.6, "w:h3": 0.5, "w:blockquote": 0.8, "w:pre": 0.6, "l:0": -0.6, "l:1": -0.3, "l:3": 0.4, "l:4": 0.8, "k:0": 0.3, "k:1": -0.5, "k:2": -2.0,
+    "c:in": 3.0, "c:out": -3.0, "n:clear": -12.0, "n:vague": -2.5, "base": 0.2,
+}
+PRIOR_LINK, PRIOR_TAG, PRIOR_WEIGHT, MOST = -1.0, -0.3, 5.0, 4.0
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", ""), ("", tag, attributes) or ("", /tag, ""), from left to right; comments and declarations are left out.
+
+    An end that is missing is looked for once: from then on the page is known to have none.
+    """
+    at, size, quotes = 0, len(page), True
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        i = page.find(what, start)
+        if i < 0:
+            missing.add(what)
+        return i
+
+    while at < size:
+        less = find("<", at)
+        if less < 0:
+            yield page[at:], "", ""
             return
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        m = _NAME.match(page, less + 1)
+        mark = page[less + 1 : less + 2]
+        if not m and mark not in ("!", "?"):
+            yield page[at : less + 1], "", ""  # a sign, not a tag
+            at = less + 1
+            continue
+        if less > at:
+            yield page[at:less], "", ""
+        if not m:
+            ends = "-->" if page.startswith("<!--", less) else "]]>" if page.startswith("<![CDATA[", less) else ">"
+            i = find(ends, less + 2)
+            at = size if i < 0 else i + len(ends)
             continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, k = stack.pop()
-                    dropped -= k not in ("", "content")
-                    content -= k == "content"
-                    if t == tag:
+        i = m.end()
+        while True:
+            i = _TO_QUOTE.match(page, i).end() if quotes else find(">", i)
+            if i < 0 or i >= size:
+                if quotes:  # a quotation mark or the tag has no end: read tags without regard to quotation marks from here on
+                    quotes, i = False, m.end()
+                    continue
+                return
+            if page[i] == ">":
+                break
+            close = page.find(page[i], i + 1)
+            if close < 0:
+                quotes, i = False, m.end()
+            else:
+                i = close + 1
+        yield "", m[0].lower(), page[m.end() : i]
+        at = i + 1
+        if m[0].lower() in RAW and not page[m.end() : i].endswith("/"):
+            end = _CLOSE[m[0].lower()].search(page, at)
+            at = end.start() if end else size
+
+
+def _named(attributes: str) -> str:
+    """What class, id and role say: clear, vague, content, or nothing."""
+    found = ""
+    for m in _NAMING.finditer(attributes):
+        said = (m[1] or m[2] or m[3] or "").lower()
+        if m[0].lower().startswith("role") and said.strip() in _CONTENT:
+            return "content"
+        for word in re.split(r"[^a-z0-9]+", said):
+            if word in CLEAR:
+                return "clear"
+            if word in VAGUE:
+                found = "vague"
+    return found
+
+
+class _Open:
+    """An open element and what holds for text in it."""
+
+    __slots__ = ("tag", "block", "links", "named", "dropped", "content", "paragraph")
+
+    def __init__(self, tag: str, above: _Open | None, attributes: str = ""):
+        self.tag = tag
+        self.block, self.links, self.named, self.dropped, self.content, self.paragraph = (above.block, above.links, above.named, above.dropped, above.content, above.paragraph) if above else ("", 0, "", False, 0, False)
+        if tag in BLOCKS:
+            self.block, self.paragraph = tag, tag == "p"
+        self.links += tag == "a"
+        says = _named(attributes) if attributes and tag not in ("html", "body") else ""
+        if tag in _CONTENT or says == "content":
+            self.content += 1
+            if tag in _CONTENT:
+                says = ""  # the article itself, whatever it is called
+        if says in ("clear", "vague") and self.named != "clear":
+            self.named = says
+        self.dropped = self.dropped or tag in NEVER or tag == "header" and not self.content or bool(attributes and _HIDDEN.search(attributes))
+
+
+def items(page: str) -> list[tuple[str, str, bool, int, str, str, int]]:
+    """The page as (kind, key, dropped, in the article element, name, text, block): kind "t" for a run of text, "b" for a tag that ends a block, "i" for another tag."""
+    top = _Open("", None)
+    stack, open_tags, out, block = [top], Counter(), [], 0
+    for text, tag, attributes in tokens(page):
+        here = stack[-1]
+        if text:
+            out.append(("t", here.block + ("/a" if here.links else ""), here.dropped, here.content, here.named, text, block))
+            continue
+        ends = tag[0] == "/"
+        name = tag[1:] if ends else tag
+        if ends:
+            if name in RAW and not open_tags[name]:
+                continue
+            if open_tags[name]:
+                while len(stack) > 1:
+                    gone = stack.pop()
+                    open_tags[gone.tag] -= 1
+                    if gone.tag == name:
                         break
-        elif tag in RAW and not m[4]:
-            if low is None:
-                low = page.lower()
-            close = low.find(f"</{tag}", at)
-            at = end if close < 0 else close
-            yield "i", f"<{tag}", True, False, ""
-            if close >= 0:
-                over = page.find(">", at)
-                at = end if over < 0 else over + 1
+        elif name in RAW:
+            out.append(("i", f"<{name}", True, here.content, here.named, "", block))
             continue
-        elif tag not in VOID and not m[4]:
-            if tag == "p" or tag in BLOCKS and stack and stack[-1][0] == "p":
-                if any(t == "p" for t, _ in stack) and all(t == "p" or t not in BLOCKS for t, _ in stack[[t for t, _ in stack].index("p") :]):
-                    while stack and any(t == "p" for t, _ in stack):  # a new block ends an open paragraph
-                        t, k = stack.pop()
-                        dropped -= k not in ("", "content")
-                        content -= k == "content"
-                        if t == "p":
-                            break
-            kind = _kind(tag, m[3], content > 0)
-            stack.append((tag, kind))
-            dropped += kind not in ("", "content")
-            content += kind == "content"
-        yield "b" if tag in BLOCKS else "i", ("</" if m[1] else "<") + tag, bool(dropped), content > 0 and not dropped, " " if tag == "br" else ""
+        elif name not in VOID and not attributes.endswith("/"):
+            if name in BLOCKS and here.paragraph:  # a new block ends an open paragraph
+                while True:
+                    gone = stack.pop()
+                    open_tags[gone.tag] -= 1
+                    if gone.tag == "p":
+                        break
+            stack.append(_Open(name, stack[-1], attributes))
+            open_tags[name] += 1
+        here = stack[-1]
+        block += name in BLOCKS
+        out.append(("b" if name in BLOCKS else "i", ("</" if ends else "<") + name, here.dropped, here.content, here.named, " " if name == "br" else "", block))
+    return out
 
 
 def is_labelled(page: str) -> bool:
     return bool(re.search(r"<(?:article|main)[\s>]", page, re.IGNORECASE))
 
 
+def _scored(seq: list[tuple]) -> Iterator[tuple[int, int, list[str]]]:
+    """(place in seq, number of words, features) of the runs of text that have words and aren't dropped."""
+    words, links = Counter(), Counter()
+    counts = [len(text.split()) if kind == "t" and not dropped else 0 for kind, _, dropped, _, _, text, _ in seq]
+    for n, (_, key, _, _, _, _, block) in zip(counts, seq, strict=True):
+        words[block] += n
+        links[block] += n if key.endswith("/a") else 0
+    holds = any(x[3] for x in seq)
+    for i, (n, (_, key, _, content, name, _, block)) in enumerate(zip(counts, seq, strict=True)):
+        if n:
+            total, share = words[block], links[block] / words[block]
+            length = 0 if total < 3 else 1 if total < 8 else 2 if total < 20 else 3 if total < 50 else 4
+            own = [f"w:{key}", f"l:{length}", f"k:{0 if not share else 1 if share < 0.5 else 2}"]
+            if holds:
+                own.append("c:in" if content else "c:out")
+            if name:
+                own.append(f"n:{name}")
+            yield i, n, own
+
+
 def count_places(page: str) -> Counter:
-    """(key, inside) -> number of words or tags, of a labelled page."""
+    """(feature, inside) -> number of words or tags, of a labelled page. Inside is the article element, without what names itself clearly."""
     n: Counter = Counter()
-    for kind, key, _, inside, text in items(page):
-        n[(("w:" if kind == "t" else "t:") + key, inside)] += len(text.split()) if kind == "t" else 1
+    seq = items(page)
+    for i, words, own in _scored(seq):
+        inside = seq[i][3] > 0 and seq[i][4] != "clear"
+        n[("base", inside)] += words
+        for key in own:
+            n[(key, inside)] += words
+    for kind, key, dropped, content, _, _, _ in seq:
+        if kind != "t":
+            n[(f"t:{key}", content > 0 and not dropped)] += 1
     return n
 
 
-def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds of content for every place, shrunk to the prior; words may be of either sign, tags are negative."""
-    out = {}
-    for key in {k for k, _ in counts}:
-        inside, outside = counts.get((key, True), 0), counts.get((key, False), 0)
-        odds = math.log((inside + 1) / (outside + 1))
-        share = (inside + outside) / (inside + outside + PRIOR_WEIGHT)
-        if key.startswith("w:"):
-            out[key] = max(-3.0, min(3.0, share * odds + (1 - share) * _prior(key)))
-        else:
-            out[key] = -0.02 - 0.5 / (1 + math.exp(odds * share))
-    return out
+def _prior(key: str) -> float:
+    return PRIOR_LINK if key.endswith("/a") else PRIOR.get(key, 0.0)
 
 
-def _prior(key: str) -> float:
-    block = key[2:].split("/")[1] if "/" in key else ""
-    return PRIOR_LINK if key.endswith("/a") else PRIOR_WORD.get(block, PRIOR_OTHER)
+def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
+    """Log odds of content for every feature beyond those of any word ("base"), shrunk to the prior; tags are negative.
+
+    Names keep their prior: what is labelled can't show an advert inside an article.
+    """
+    odds = lambda k: math.log((counts.get((k, True), 0) + 1) / (counts.get((k, False), 0) + 1))
+    n = lambda k: counts.get((k, True), 0) + counts.get((k, False), 0)
+    base = max(-1.0, min(1.0, odds("base"))) if n("base") else PRIOR["base"]
+    out = {"base": base}
+    for key in {k for k, _ in counts} - {"base"}:
+        share = n(key) / (n(key) + PRIOR_WEIGHT)
+        if key.startswith("t:"):
+            out[key] = -0.02 - 0.5 / (1 + math.exp(odds(key) * share))
+        elif not key.startswith("n:"):
+            out[key] = share * max(-MOST, min(MOST, odds(key) - odds("base"))) + (1 - share) * _prior(key)
+    return out
 
 
 def extract(page: str, learned: dict[str, float]) -> str:
-    """The main text: blocks joined by a line end, white space in a block as one space; empty if no region scores above 0."""
+    """The main text: blocks joined by a line end, white space in a block as one space; empty if no region scores above 0.
+
+    Of regions with equal sums the first one is taken.
+    """
     if not page:
         return ""
-    seq = list(items(page))
+    seq = items(page)
+    value = lambda k: learned[k] if k in learned else _prior(k)
+    scores = [-0.01 if x[2] else 0.0 if x[0] == "t" else learned.get(f"t:{x[1]}", PRIOR_TAG) for x in seq]
+    base, named = learned.get("base", PRIOR["base"]), Counter()
+    for i, n, own in _scored(seq):
+        scores[i] = n * (base + sum(map(value, own)))
+        if seq[i][4]:
+            named[seq[i][6]] += scores[i]
+    gone = {block for block, total in named.items() if total < 0}
     best = total = 0.0
     start, region = 0, None
-    for i, (kind, key, dropped, _, text) in enumerate(seq):
-        if dropped:
+    for i, score in enumerate(scores):
+        if seq[i][4] and seq[i][6] in gone:
             score = -0.01  # it isn't text of the region anyway, and must not cut an article in two
-        elif kind == "t":
-            words = len(text.split())
-            score = words * (learned[f"w:{key}"] if f"w:{key}" in learned else _prior(f"w:{key}")) if words else 0.0
-        else:
-            score = learned.get(f"t:{key}", PRIOR_TAG)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -182,11 +285,11 @@ def extract(page: str, learned: dict[str, float]) -> str:
     if region is None:
         return ""
     blocks, held = [], []
-    for kind, _, dropped, _, text in seq[region[0] : region[1]]:
+    for kind, _, dropped, _, name, text, block in seq[region[0] : region[1]]:
         if kind == "b":
             blocks.append(held)
             held = []
-        elif not dropped and text:
+        elif text and not dropped and not (name and block in gone):
             held.append(text)
     blocks.append(held)
     said = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
@@ -194,7 +297,7 @@ def extract(page: str, learned: dict[str, float]) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights from about `most` labelled pages. What comes to the driver is a count for each place, which markup bounds."""
+    """Weights from about `most` labelled pages. What comes to the driver is a count for each feature; elements bound their number."""
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html"))
     labelled = rows.filter(F.col("html").rlike(r"(?i)<(?:article|main)[\s>]"))
     n = labelled.count()
@@ -211,14 +314,14 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     sums = labelled.mapInArrow(counted, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n"))
-    return weights({(r["key"], r["inside"]): r["n"] for r in sums.orderBy(F.desc("n"), "key").limit(20_000).collect()})
+    return weights({(r["key"], r["inside"]): r["n"] for r in sums.collect()})
 
 
 def extract_main(pages: DataFrame, learned: dict[str, float]) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    A null or empty html gives an empty text; so does a page without content. Repeated rows and null ids are rows of
-    their own. An empty table gives no rows; other columns are ignored.
+    A null or empty html gives an empty text; so does a page without content. Very long pages are read whole, once.
+    Repeated rows and null ids are rows of their own. An empty table gives no rows; other columns are ignored.
     """
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

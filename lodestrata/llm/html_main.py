@@ -60,7 +60,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|
 #: Weights of places that no labelled page shows, in the same units (natural logarithm of odds), and how many words they count as.
 PRIOR = {
     "w:p": 1.0, "w:h1": 0.8, "w:h2": 0.6, "w:h3": 0.5, "w:blockquote": 0.8, "w:pre": 0.6, "l:0": -0.6, "l:1": -0.3, "l:3": 0.4, "l:4": 0.8, "k:0": 0.3, "k:1": -0.5, "k:2": -2.0,
-    "c:in": 3.0, "c:out": -3.0, "n:clear": -12.0, "n:vague": -2.5, "base": 0.2,
+    "c:in": 3.0, "c:out": -3.0, "n:clear": -30.0, "n:vague": -2.5, "base": 0.2,
 }
 PRIOR_LINK, PRIOR_TAG, PRIOR_WEIGHT, MOST = -1.0, -0.3, 5.0, 4.0
 

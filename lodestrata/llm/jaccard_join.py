@@ -6,10 +6,12 @@ classes that common passages and large groups of copies make - are indexed as tw
 holds few of them (at most FEW), and such a set's single frequent tokens meet only those of sets that hold many. Every
 pair over the threshold meets in a key; what meets is verified on the whole sets.
 
-The order comes from a sketch of counters of a fixed size over all documents' tokens. Documents with equal sets are one
+The order comes from a sketch of counters over all documents' tokens. A token is frequent if its counter stands out from
+the load that other tokens alone give a counter, by three of that load's deviations (and two): so the classes follow the
+corpus, whatever its size, and a rare token is in few documents beside it. Documents with equal sets are one
 class from the start. A key's classes are first linked with one pivot (a star: rows grow with the postings, not with
 their square), verified, and merged into components; only pairs of a key that are then still in different components are
-formed. Pairs are thinned by their sizes and by parity signatures, which bound the sets' difference from below, before
+formed, in blocks of BLOCK rows of a key. Pairs are thinned by their sizes and by parity signatures, which bound the sets' difference from below, before
 they are verified. So a large group of near copies costs a star instead of all its pairs, and no link that could join two
 components is left out.
 """
@@ -39,7 +41,10 @@ SKETCH, SKETCH_CHUNKS, FAN_IN = 1 << 20, 16, 64
 MOST_BITS = 1 << 16
 
 #: Frequent tokens of a prefix up to which it is indexed by pairs of them.
-FEW = 8
+FEW = 12
+
+#: Rows of a key that meet in one task when its pairs are formed; a key with more is cut into blocks, each pair of which is a key.
+BLOCK = 256
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -205,7 +210,10 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
-    """A byte for each counter: 0 for rare tokens, else 1 + the logarithm of how far above the usual load it is.
+    """A byte for each counter: 0 for rare tokens, else 1 + the logarithm of how far above the bound it is.
+
+    The bound is what the tokens that fall on a counter by chance hardly exceed: the median load, three times its root,
+    and two.
 
     Sketches are summed FAN_IN at a time on the executors; the driver gets SKETCH_CHUNKS rows, whatever the input is.
     """
@@ -218,8 +226,13 @@ def frequency_classes(sketch: DataFrame) -> np.ndarray:
     each = SKETCH // SKETCH_CHUNKS
     for row in sketch.collect():
         counts[row["chunk"] * each : (row["chunk"] + 1) * each] += _unpacked(bytes(row["counts"]))
-    usual = 2 * counts.sum() / SKETCH + 16
-    return np.where(counts < usual, 0, 1 + np.log2(np.maximum(counts / usual, 1)).astype(np.int64)).clip(0, 255).astype(np.uint8)
+    return classes_of(counts)
+
+
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    load = float(np.median(counts))
+    bound = load + 3 * load**0.5 + 2
+    return np.where(counts <= bound, 0, 1 + np.log2(np.maximum(counts / bound, 1)).astype(np.int64)).clip(0, 255).astype(np.uint8)
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -270,8 +283,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(postings: DataFrame) -> DataFrame:
     """(key, kind, class, doc_id, pivot) of keys in which different classes meet.
 
-    A rare token's counter is below the sketch's bound, so that it is in no more than about one of a thousand documents:
-    its postings go to one task, which streams them in order. Keys of frequent tokens may be in any share of the
+    A rare token's counter is below the sketch's bound, so the token itself is in no more sets than some deviations of a
+    counter's load (some ten thousand at 100 TB): its postings go to one task, which streams them in order. Keys of frequent tokens may be in any share of the
     documents: their pivots are minima, combined on the map side, and the join is one that AQE splits.
     """
     rare = postings.filter(F.col("kind") == RARE).select("key", "class", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
@@ -348,8 +361,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     A null text counts as empty; documents without words have no shingles and are their own component. Equal sets are
-    linked. Repeated rows of a doc_id are rows of their own; a null doc_id links with nothing and has a null component.
-    An empty table gives no rows; other columns are ignored.
+    linked. Very long texts are hashed in pieces, whole. Repeated rows of a doc_id are rows of their own; a null doc_id
+    links with nothing and has a null component. Of documents with equal sets the smallest id stands for them. An empty
+    table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = written(rows.mapInArrow(lambda batches: _sets(batches, n), _ROW), "jaccard-sets")
@@ -370,15 +384,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = members.join(roots.select(F.col("node").alias("class"), "root").hint("shuffle_merge"), "class", "left")
     placed = written(placed.select("key", "kind", "class", F.coalesce("root", "class").alias("root")), "jaccard-placed")
-    open_keys = written(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "jaccard-open-keys")
-    open_ = placed.join(open_keys.hint("shuffle_merge"), "key")
-    open_ = written(open_, "jaccard-open")
-    open_ = written(open_.join(classes.select("class", "n", *_BITS).hint("shuffle_merge"), "class"), "jaccard-open")
-    a = open_.select("key", *[F.col(c).alias(f"a_{c}") for c in ("class", "kind", "root", "n", *_BITS)])
-    b = open_.select("key", *[F.col(c).alias(f"b_{c}") for c in ("class", "kind", "root", "n", *_BITS)]).hint("shuffle_merge")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y")
+    open_keys = written(open_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "jaccard-open-keys")
+    open_ = written(placed.join(open_keys.hint("shuffle_merge"), "key"), "jaccard-open")
+    open_ = open_.join(classes.select("class", "n", *_BITS).hint("shuffle_merge"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    blocked = written(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "jaccard-open")
+    meets = [F.col("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    a = blocked.select(*meets, *[F.col(c).alias(f"a_{c}") for c in ("class", "kind", "root", "n", "block", *_BITS)])
+    b = blocked.select(*meets, *[F.col(c).alias(f"b_{c}") for c in ("class", "kind", "root", "n", "block", *_BITS)]).hint("shuffle_merge")
+    b = b.select(F.col("key").alias("b_key"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), *[c for c in b.columns if c.startswith("b")])
     bits = lambda c: [F.col(f"{c}_{b}") for b in _BITS]
     fits = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & ~((F.col("a_kind") == NARROW) & (F.col("b_kind") == NARROW)) & _may_link(F.col("a_n"), F.col("b_n"), bits("a"), bits("b"), percent)
-    crossed = a.join(b.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & fits)
+    once = (F.col("lo") == F.col("hi")) | (F.col("a_block") != F.col("b_block"))
+    crossed = a.join(b.hint("shuffle_merge"), (F.col("key") == F.col("b_key")) & (F.col("lo") == F.col("b_lo")) & (F.col("hi") == F.col("b_hi")) & once & fits)
     crossed = crossed.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     more = _verified(_thinned(crossed, classes, percent, "jaccard-cross"), rows, classes, n, percent, "jaccard-cross")
     if not more.isEmpty():

@@ -20,6 +20,9 @@ from lodestrata.llm.runtime import BROADCAST_IDS, keep_ids, written
 #: Words of a shingle and share of an item's shingles from which it counts as contained.
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 
+#: Items' shingles of at most so many characters in all are broadcast; more are joined by a shuffle, with the same rows.
+BROADCAST_CHARS = 16 << 20
+
 
 def words_of(text: Column) -> Column:
     """Letters and digits of the lower-cased text, as words."""
@@ -59,7 +62,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per document and item that it contains: doc_id, item_id, item_shingles, shared_shingles, containment.
 
     An item of fewer than n words is one shingle of all its words; items and documents without words (null, empty) match
-    nothing. Rows with a null id are left out. Repeated rows of a doc_id count as one document, by the best of them, and
+    nothing. Very long documents are searched whole. Rows with a null id are left out. Repeated rows of a doc_id count as one document, by the best of them, and
     repeated items likewise. Empty tables give no rows; other columns are ignored.
     """
     items = written(_items(benchmark, item_col, item_text_col, n), "decontam-items")
@@ -76,7 +79,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = written(runs.join(side, "hash").select("doc_id", "item_id").distinct(), "decontam-candidates")
 
     texts = keep_ids(rows, found.select("doc_id").distinct(), "doc_id").select("doc_id", words_of(F.col("text")).alias("words"))
-    few = items.count() <= BROADCAST_IDS // 100
+    chars = items.agg(F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda n, x: n + F.length(x))).alias("n")).first()["n"] or 0
+    few = chars <= BROADCAST_CHARS
     known = items.select("item_id", "size", "shingles")
     pairs = found.join(F.broadcast(known) if few else known.hint("shuffle_merge"), "item_id")
     both = pairs.join(texts.hint("shuffle_merge"), "doc_id")

@@ -125,10 +125,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_
 """
 
 
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+OP8_SQL = f"""
+WITH i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, unnest([array_to_string(w[x:x + k - 1], ' ') FOR x IN range(1, len(w) - k + 2)]) AS sh FROM i),
+n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY 1),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[x:x + k - 1], ' ') FOR x IN range(1, len(w) - k + 2)]) AS sh FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+c AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM s JOIN g USING (k, sh) GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_shingles AS containment FROM c JOIN n USING (item_id) WHERE shared_shingles >= item_shingles * 0.8 - 1e-9
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[x:x + 3], ' ') FOR x IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+u AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS component_id FROM s
+"""
+
+
 def queries() -> dict:
     own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return own
 
 
 def oracle_sql() -> dict:
-    return {"op4_url_filter": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_url_filter": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL}

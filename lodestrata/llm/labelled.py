@@ -17,6 +17,8 @@ def fold(doc_id, n: int):
 def sample_labels(labels: DataFrame, label: str, folds: int, held: int, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, y) of about `rows` labelled documents outside fold `held`; null ids and labels are left out.
 
+    Repeated labels of an id count once; an id with clashing ones says nothing and is left out.
+
     Every label outside the fold has the same chance: the share of a 64-bit hash's range that gives `rows` of them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
@@ -24,4 +26,4 @@ def sample_labels(labels: DataFrame, label: str, folds: int, held: int, rows: in
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-    return known.dropDuplicates(["doc_id"])
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_most")).filter("y = _most").drop("_most")

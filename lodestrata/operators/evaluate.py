@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.operators.rank import top_per
+
 
 def judged(run: DataFrame, judgments: DataFrame) -> DataFrame:
     """Run (probe, id, rank from 1) with gain; unjudged is 0."""
@@ -37,7 +39,7 @@ def macro(scores: DataFrame, family: str, *metrics: str) -> DataFrame:
     return scores.groupBy(family).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
 
 
-def bootstrap(pairs: DataFrame, diff: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap(pairs: DataFrame, diff: str, rounds: int = 10_000, seed: int = 0) -> DataFrame:
     """One row (mean, low, high): 95 % interval of the mean difference by resampling probes with a hash as the source of chance.
 
     pairs are probes (a benchmark's, some hundreds); rounds x probes rows are made on the executors.
@@ -69,20 +71,30 @@ def stratified(df: DataFrame, stratum: str, key: str, quota: Column, seed: str)
 
 
 def proportional(df: DataFrame, stratum: str, key: str, total: int, forced: DataFrame, seed: str) -> DataFrame:
-    """About `total` rows by the strata's shares, one at least from each, plus the forced ids."""
+    """`total` rows by the strata's shares, one at least from each, plus the forced ids.
+
+    Shares are rounded down; what then lacks goes to the strata with the largest remainders, one row each, by name in
+    ties. Strata are few.
+    """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_k"))
     all_ = df.agg(F.count("*").alias("_t"))
-    quotas = sizes.crossJoin(F.broadcast(all_)).select(stratum, F.greatest(F.lit(1), F.floor(F.col("_k") * total / F.col("_t"))).cast("int").alias("_q"))
-    drawn = stratified(df.join(quotas, stratum), stratum, key, F.col("_q"), seed).select(key)
+    exact = F.col("_k") * total / F.col("_t")
+    quotas = sizes.crossJoin(F.broadcast(all_)).select(stratum, F.greatest(F.lit(1), F.floor(exact)).cast("int").alias("_f"), (exact - F.floor(exact)).alias("_r"))
+    lacks = F.lit(total) - F.sum("_f").over(W.partitionBy())
+    place = F.row_number().over(W.orderBy(F.desc("_r"), stratum))
+    quotas = quotas.select(stratum, (F.col("_f") + (place <= lacks).cast("int")).alias("_q"))
+    drawn = stratified(df.join(F.broadcast(quotas), stratum), stratum, key, F.col("_q"), seed).select(key)
     ids = drawn.union(forced.select(key)).distinct()
     return df.join(ids, key, "left_semi")
 
 
 def covered_sample(df: DataFrame, kind: str, key: str, each: int, total: int, seed: str) -> DataFrame:
-    """`each` rows of every kind, then others up to `total`, in the order of a seeded hash."""
+    """`each` rows of every kind, then others from the largest kind on up to `total`, in the order of a seeded hash."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    ranked = df.withColumns({"_o": order}).withColumn("_rn", F.row_number().over(W.partitionBy(kind).orderBy("_o", key)))
-    return ranked.orderBy((F.col("_rn") > each).cast("int"), "_o", key).limit(total).drop("_o", "_rn")
+    sizes = F.broadcast(df.groupBy(kind).agg(F.count("*").alias("_k")))  # kinds are few
+    ranked = top_per(df.withColumn("_o", order), kind, [F.col("_o"), F.col(key)], total).join(sizes, kind)
+    beyond = F.col("rn") > each
+    return ranked.orderBy(beyond.cast("int"), F.when(beyond, -F.col("_k")).otherwise(0), F.when(beyond, F.col(kind)), "_o", key).limit(total).drop("_o", "rn", "_k")
 
 
 def precision(graded: DataFrame, verdict: str, by: list[str]) -> DataFrame:
@@ -101,6 +113,47 @@ def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.when(F.count(value) > 1, F.round(F.stddev_pop(value), 6)).alias("sd"))
 
 
+def suite(results: DataFrame, expected: DataFrame, tiers: DataFrame, k: int = 10) -> DataFrame:
+    """A row for each probe of a golden set: hits, expected, recall, duplicates, share of top venues, mean citations, p95 latency.
+
+    results (probe, id, rank, paper, cites, ms), expected (probe, id), tiers (paper, tier).
+    """
+    top = results.filter(F.col("rank") <= k)
+    held = top.join(expected.select("probe", "id", F.lit(1).alias("_hit")), ["probe", "id"], "left").join(tiers, "paper", "left")
+    per = held.groupBy("probe").agg(
+        F.count("_hit").alias("hits"), (F.count("*") - F.countDistinct("paper")).alias("duplicates"), F.round(F.avg((F.coalesce("tier", F.lit(9)) == 1).cast("double")), 6).alias("top_share"),
+        F.round(F.avg("cites"), 6).alias("mean_cites"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95"),
+    )
+    wanted = expected.groupBy("probe").agg(F.count("*").alias("expected"))
+    return wanted.join(per, "probe", "left").select("probe", F.coalesce("hits", F.lit(0)).alias("hits"), "expected", F.round(F.coalesce("hits", F.lit(0)) / F.col("expected"), 6).alias("recall"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "top_share", "mean_cites", "p95")
+
+
+#: Sentences that carry a measured value or a named amount are specific.
+SPECIFIC = r"[0-9]"
+
+
+def answer_metrics(sentences: DataFrame, known: DataFrame, as_of: int) -> DataFrame:
+    """A row for each answer: cited, existing (cited papers that are known), specific, grounded, grounded_share, recency, overlap.
+
+    sentences (answer, pos, text, dois, inside), inside where the sentence stands in an evidence section; a specific
+    sentence is grounded if it cites a known paper itself or stands in such a section after one that does. known (doi,
+    year). overlap is the largest share of an answer's citations that another answer has too.
+    """
+    cites = sentences.select("answer", "pos", F.explode("dois").alias("doi")).join(known, "doi", "left")
+    per = cites.select("answer", "doi", "year").distinct().groupBy("answer").agg(F.count("*").alias("cited"), F.count("year").alias("existing"), F.round(F.avg(F.lit(as_of) - F.col("year")), 6).alias("recency"))
+    good = cites.groupBy("answer", "pos").agg(F.max(F.col("year").isNotNull().cast("int")).alias("good"))
+    marked = sentences.select("answer", "pos", "inside", F.col("text").rlike(SPECIFIC).alias("specific")).join(good, ["answer", "pos"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    before = F.max("good").over(W.partitionBy("answer").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    marked = marked.withColumn("grounded", F.col("specific") & ((F.col("good") == 1) | F.col("inside") & (before == 1)))
+    told = marked.groupBy("answer").agg(F.count(F.when(F.col("specific"), 1)).alias("specific"), F.count(F.when(F.col("grounded"), 1)).alias("grounded"))
+    own = cites.select("answer", "doi").distinct()
+    shared = own.join(own.select(F.col("answer").alias("other"), "doi"), "doi").filter("answer <> other").groupBy("answer", "other").agg(F.count("*").alias("n"))
+    most = shared.groupBy("answer").agg(F.max("n").alias("shared"))
+    out = told.join(per, "answer", "left").join(most, "answer", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("answer", zero("cited").alias("cited"), zero("existing").alias("existing"), "specific", "grounded", F.when(F.col("specific") > 0, F.round(F.col("grounded") / F.col("specific"), 6)).alias("grounded_share"), "recency", F.when(F.col("cited") > 0, F.round(zero("shared") / F.col("cited"), 6)).alias("overlap"))
+
+
 def section_flags(sentences: DataFrame, doc: str, pos: str, heading: Column) -> DataFrame:
     """Adds `inside`: whether a heading came before the sentence in its document, as a running maximum."""
     return sentences.withColumn("inside", F.max(heading.cast("int")).over(W.partitionBy(doc).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)) == 1)

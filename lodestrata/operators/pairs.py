@@ -109,6 +109,51 @@ def bit_tanimoto(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
+def fingerprint_tanimoto(a: Column, b: Column) -> Column:
+    """Tanimoto similarity of fingerprints, which are arrays of equally many longs."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    either = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(either > 0, both / either).otherwise(0.0)
+
+
+def fingerprint_pairs(df: DataFrame, id_col: str, bits: str, block: str, least: float) -> DataFrame:
+    """(a, b, similarity) of a block. The numbers of bits bound the similarity, so they are tested before the fingerprints."""
+    n = F.aggregate(F.transform(bits, lambda x: F.bit_count(x)), F.lit(0), lambda s, x: s + x)
+    rows = df.select(F.col(id_col).alias("id"), F.col(bits).alias("bits"), F.col(block).alias("block"), n.alias("n"))
+    a = rows.select(F.col("id").alias("a"), "block", F.col("bits").alias("x"), F.col("n").alias("nx"))
+    b = rows.select(F.col("id").alias("b"), F.col("block").alias("block2"), F.col("bits").alias("y"), F.col("n").alias("ny"))
+    may = F.least("nx", "ny") >= least * F.greatest("nx", "ny")
+    pairs = a.join(b, (F.col("block") == F.col("block2")) & (F.col("a") < F.col("b")) & may)
+    return pairs.select("a", "b", F.round(fingerprint_tanimoto(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, doc_col: str, item_col: str, text_col: str = "text") -> DataFrame:
+    """(doc, item): documents whose text holds an item's text as it is, letter by letter.
+
+    Words inside an item, which are whole in any document that holds it, are its key (up to four of them), met by hash;
+    ids alone are joined and the texts compared at the end. An item of one or two words has no word inside: it is
+    compared with every document, so keep such items few.
+    """
+    split = lambda c: F.split(c, r"[ \n]+")
+    keyed = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("held")).filter(F.length("held") > 0).withColumn("w", split(F.col("held")))
+    keyed = keyed.withColumn("size", F.least(F.lit(4), F.size("w") - 2))
+    long, short = keyed.filter("size > 0"), keyed.filter("size <= 0").select("item", "held")
+    key = F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("size")), " "))
+    w = docs.select(F.col(doc_col).alias("doc"), split(F.col(text_col)).alias("w"))
+    none = F.array().cast("array<struct<size:int,key:bigint>>")
+
+    def runs(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(F.lit(k).alias("size"), F.xxhash64(F.array_join(F.slice("w", i, k), " ")).alias("key")))
+        return F.when(F.size("w") >= k, each).otherwise(none)
+
+    sizes = [r["size"] for r in long.select("size").distinct().collect()]  # four at most
+    at = w.select("doc", F.explode(F.concat(*map(runs, sizes)) if sizes else none).alias("x")).select("doc", "x.*")
+    met = at.join(long.select("item", F.col("size"), key.alias("key")), ["size", "key"]).select("doc", "item").distinct()
+    texts = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    whole = met.join(long.select("item", "held"), "item").join(texts, "doc").filter(F.contains("text", F.col("held"))).select("doc", "item")
+    return whole.unionByName(texts.join(short, F.contains("text", F.col("held"))).select("doc", "item")).distinct()
+
+
 def greedy_match(scores: DataFrame, group: str) -> DataFrame:
     """One-to-one matches of a group by falling score (group, gold, found, score); a group is one document's candidates.
 
@@ -135,8 +180,11 @@ def field_accuracy(gold: Column, found: Column, ratio: Column) -> Column:
     return F.when(number, F.when(F.abs(x - y) <= 0.01 * F.greatest(F.abs(x), F.lit(1e-9)), "correct").otherwise("wrong")).when(ratio > 0.8, "correct").when(ratio > 0.5, "partial").otherwise("wrong")
 
 
-def greedy_clusters(counts: DataFrame, similar: float = 0.85, most: int = 500) -> DataFrame:
-    """(block, label, cluster): labels by falling count join the first cluster they are like: equal but for a plural s, or a token similarity."""
+def greedy_clusters(counts: DataFrame, similar: float = 0.85) -> DataFrame:
+    """(block, label, cluster): labels by falling count join the first cluster they are like: equal but for a plural s, or a token similarity.
+
+    A label is compared with every cluster of its block, and a block is one task: give blocks that hold a vocabulary.
+    """
 
     def run(rows):
         import pandas as pd
@@ -146,7 +194,7 @@ def greedy_clusters(counts: DataFrame, similar: float = 0.85, most: int = 500) -
         for r in rows.sort_values(["n", "label"], ascending=[False, True]).itertuples():
             words = frozenset(r.label.split("_"))
             home = None
-            for head, held in heads[:most]:
+            for head, held in heads:
                 j = len(words & held) / len(words | held)
                 if r.label.rstrip("s") == head.rstrip("s") or j >= similar or (j >= 0.7 and (words < held or held < words)):
                     home = head

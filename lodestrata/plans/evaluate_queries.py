@@ -49,7 +49,7 @@ def run_scores(spark, d):
 
 @register("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    """Chance comes from Spark's 64-bit hash, which DuckDB lacks; tests check coverage and reproducibility."""
+    """Ten thousand rounds. Chance comes from Spark's 64-bit hash, which DuckDB lacks; tests check coverage and reproducibility."""
     s = E.ndcg(run(spark, d), judgments(spark, d), 10).join(E.ndcg(run(spark, d), judgments(spark, d), 5).withColumnRenamed("ndcg", "other"), "probe")
     return E.bootstrap(s.select("probe", (F.col("ndcg") - F.col("other")).alias("d")), "d")
 
@@ -64,13 +64,18 @@ def stratified_sample(spark, d):
     return E.stratified(load(spark, d, "documents"), "lang", "doc_id", F.when(F.col("lang") == "en", 20).otherwise(5), "s").select("lang", "doc_id")
 
 
-@register("proportional_sample", "WITH q AS (SELECT lang, greatest(1, CAST(floor(count(*) * 50::DOUBLE / (SELECT count(*) FROM documents)) AS INTEGER)) AS q FROM documents GROUP BY 1), r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('p:' || doc_id), doc_id) AS rn FROM documents) SELECT doc_id, r.lang FROM r JOIN q ON r.lang = q.lang WHERE rn <= q OR doc_id < 5")
+@register("proportional_sample", """
+WITH k AS (SELECT lang, count(*) AS k, count(*) * 50::DOUBLE / (SELECT count(*) FROM documents) AS e FROM documents GROUP BY 1), f AS (SELECT lang, greatest(1, CAST(floor(e) AS INTEGER)) AS f, e - floor(e) AS r FROM k),
+q AS (SELECT lang, f + CASE WHEN row_number() OVER (ORDER BY r DESC, lang) <= 50 - sum(f) OVER () THEN 1 ELSE 0 END AS q FROM f), r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('p:' || doc_id), doc_id) AS rn FROM documents)
+SELECT doc_id, r.lang FROM r JOIN q ON r.lang = q.lang WHERE rn <= q OR doc_id < 5""")
 def proportional_sample(spark, d):
     docs = load(spark, d, "documents")
     return E.proportional(docs, "lang", "doc_id", 50, docs.filter("doc_id < 5"), "p").select("doc_id", "lang")
 
 
-@register("covered_sample", "WITH r AS (SELECT event_id, event_type, md5('c:' || event_id) AS o FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY o, event_id) AS rn FROM r) SELECT event_id, event_type FROM k ORDER BY CAST(rn > 3 AS INTEGER), o, event_id LIMIT 40")
+@register("covered_sample", """
+WITH r AS (SELECT event_id, event_type, md5('c:' || event_id) AS o FROM events), z AS (SELECT event_type, count(*) AS z FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY o, event_id) AS rn FROM r JOIN z USING (event_type))
+SELECT event_id, event_type FROM k ORDER BY CAST(rn > 3 AS INTEGER), CASE WHEN rn > 3 THEN -z ELSE 0 END, CASE WHEN rn > 3 THEN event_type END NULLS FIRST, o, event_id LIMIT 40""")
 def covered_sample(spark, d):
     return E.covered_sample(load(spark, d, "events"), "event_type", "event_id", 3, 40, "c").select("event_id", "event_type")
 
@@ -96,10 +101,25 @@ def section_flags(spark, d):
     return E.section_flags(load(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "assistant").select("conv_id", "turn", "inside")
 
 
-@register("answer_metrics", "SELECT conv_id, count(*) AS n_sentences, count(*) FILTER (len(string_split(text, ' ')) > 20) AS long_ones FROM conversations WHERE role = 'assistant' GROUP BY 1")
+_ANSWERS = """
+s AS (SELECT conv_id AS answer, turn AS pos, text || CASE WHEN turn % 2 = 1 THEN ' of 5 mg' ELSE '' END AS text, CASE WHEN turn % 3 = 1 THEN ['10.1/' || (conv_id % 40), '10.1/' || (conv_id % 7 + 900)] WHEN turn % 3 = 2 THEN ['10.1/' || (conv_id % 11)] ELSE [] END AS dois, turn >= 2 AS inside FROM conversations),
+known AS (SELECT '10.1/' || o_orderkey AS doi, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderkey < 900)"""
+
+
+@register("answer_metrics", f"""
+WITH {_ANSWERS}, c AS (SELECT answer, pos, x.doi, year FROM (SELECT answer, pos, unnest(dois) AS doi FROM s) x LEFT JOIN known k ON k.doi = x.doi), p AS (SELECT answer, count(*) AS cited, count(year) AS existing, round(avg(2002 - year), 6) AS recency FROM (SELECT DISTINCT answer, doi, year FROM c) GROUP BY 1),
+g AS (SELECT answer, pos, max(CAST(year IS NOT NULL AS INTEGER)) AS good FROM c GROUP BY ALL), m AS (SELECT s.answer, s.pos, inside, regexp_matches(text, '[0-9]') AS specific, coalesce(good, 0) AS good FROM s LEFT JOIN g ON g.answer = s.answer AND g.pos = s.pos),
+b AS (SELECT *, max(good) OVER (PARTITION BY answer ORDER BY pos ROWS UNBOUNDED PRECEDING) AS before FROM m), t AS (SELECT answer, count(*) FILTER (specific) AS specific, count(*) FILTER (specific AND (good = 1 OR (inside AND before = 1))) AS grounded FROM b GROUP BY 1),
+o AS (SELECT DISTINCT answer, doi FROM c), h AS (SELECT answer, max(n) AS shared FROM (SELECT a.answer, b.answer AS other, count(*) AS n FROM o a JOIN o b ON a.doi = b.doi AND a.answer <> b.answer GROUP BY ALL) GROUP BY 1)
+SELECT t.answer, coalesce(cited, 0) AS cited, coalesce(existing, 0) AS existing, specific, grounded, CASE WHEN specific > 0 THEN round(grounded::DOUBLE / specific, 6) END AS grounded_share, recency, CASE WHEN cited > 0 THEN round(coalesce(shared, 0)::DOUBLE / cited, 6) END AS overlap FROM t LEFT JOIN p ON p.answer = t.answer LEFT JOIN h ON h.answer = t.answer""")
 def answer_metrics(spark, d):
-    a = load(spark, d, "conversations").filter("role = 'assistant'")
-    return a.groupBy("conv_id").agg(F.count("*").alias("n_sentences"), F.count(F.when(F.size(F.split("text", " ")) > 20, 1)).alias("long_ones"))
+    """Conversations as answers, with citations put in by a rule since they have none."""
+    c, t = F.col("conv_id"), F.col("turn")
+    doi = lambda n: F.concat(F.lit("10.1/"), n.cast("string"))
+    cited = F.when(t % 3 == 1, F.array(doi(c % 40), doi(c % 7 + 900))).when(t % 3 == 2, F.array(doi(c % 11))).otherwise(F.array().cast("array<string>"))
+    s = load(spark, d, "conversations").select(c.alias("answer"), t.alias("pos"), F.concat("text", F.when(t % 2 == 1, " of 5 mg").otherwise("")).alias("text"), cited.alias("dois"), (t >= 2).alias("inside"))
+    known = load(spark, d, "orders").filter("o_orderkey < 900").select(doi(F.col("o_orderkey")).alias("doi"), F.year("o_orderdate").alias("year"))
+    return E.answer_metrics(s, known, 2002)
 
 
 @register("stage_profile", "WITH m AS (SELECT user_id AS run, event_type AS stage, epoch_us(ts) / 1000000.0::DOUBLE AS mark FROM events), d AS (SELECT stage, mark - lag(mark) OVER (PARTITION BY run ORDER BY mark) AS delta FROM m) SELECT stage, count(*) AS n, round(quantile_cont(delta, 0.5), 3) AS median FROM d WHERE delta IS NOT NULL GROUP BY 1")
@@ -114,7 +134,13 @@ def candidate_pool(spark, d):
     return E.pool([run(spark, d), other], 5)
 
 
-@register("search_suite", f"{_G} SELECT probe, count(*) FILTER (gain >= 2 AND rank <= 10) AS hits, round(avg(gain) FILTER (rank <= 10), 6) AS mean_gain FROM g GROUP BY 1")
+@register("search_suite", f"""
+WITH {_RUN}, e AS (SELECT source AS probe, doc_id AS id FROM labels JOIN documents USING (doc_id) WHERE quality = 1), r AS (SELECT run.*, lang AS paper, n_chars AS cites, (doc_id % 97)::DOUBLE AS ms FROM run JOIN documents ON doc_id = id WHERE rank <= 10), t(paper, tier) AS (VALUES ('en', 1), ('de', 2)),
+h AS (SELECT r.*, e.id IS NOT NULL AS hit, coalesce(tier, 9) = 1 AS top FROM r LEFT JOIN e ON e.probe = r.probe AND e.id = r.id LEFT JOIN t ON t.paper = r.paper),
+p AS (SELECT probe, count(*) FILTER (hit) AS hits, count(*) - count(DISTINCT paper) AS duplicates, round(avg(top::INTEGER::DOUBLE), 6) AS top_share, round(avg(cites), 6) AS mean_cites, round(quantile_cont(ms, 0.95), 6) AS p95 FROM h GROUP BY 1), w AS (SELECT probe, count(*) AS expected FROM e GROUP BY 1)
+SELECT w.probe, coalesce(hits, 0) AS hits, expected, round(coalesce(hits, 0)::DOUBLE / expected, 6) AS recall, coalesce(duplicates, 0) AS duplicates, top_share, mean_cites, p95 FROM w LEFT JOIN p ON p.probe = w.probe""")
 def search_suite(spark, d):
-    g = E.judged(run(spark, d), judgments(spark, d))
-    return g.groupBy("probe").agg(F.count(F.when((F.col("gain") >= 2) & (F.col("rank") <= 10), 1)).alias("hits"), F.round(F.avg(F.when(F.col("rank") <= 10, F.col("gain"))), 6).alias("mean_gain"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("probe"), F.col("lang").alias("paper"), F.col("n_chars").alias("cites"), (F.col("doc_id") % 97).cast("double").alias("ms"))
+    expected = load(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")).join(docs, "id").select("probe", "id")
+    results = run(spark, d).select("probe", "id", "rank").join(docs.drop("probe"), "id")
+    return E.suite(results, expected, spark.createDataFrame([("en", 1), ("de", 2)], "paper string, tier int"))

@@ -70,13 +70,13 @@ def co_mention_star(spark, d):
     return G.stars(h, "source", "doc_id", "score", most=100)
 
 
-_NODEROWS = "SELECT p_partkey, p_name, substr(p_type, 1, 3) AS kind, n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_partkey <= 100"
+_NODEROWS = "SELECT p_partkey, p_name, substr(p_type, 1, 3) AS kind, n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"
 
 
 @register("node_descriptors", _NODEROWS)
 def node_descriptors(spark, d):
     n = li(spark, d).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    return load(spark, d, "part").filter("p_partkey <= 100").join(n, "p_partkey", "left").select("p_partkey", "p_name", F.substring("p_type", 1, 3).alias("kind"), "n")
+    return load(spark, d, "part").join(n, "p_partkey", "left").select("p_partkey", "p_name", F.substring("p_type", 1, 3).alias("kind"), "n")
 
 
 _AUTHORS = "a AS (SELECT l_orderkey AS paper, list_sort(list(DISTINCT 'Author ' || l_suppkey)) AS authors FROM lineitem GROUP BY 1), p AS (SELECT paper, authors, o_totalprice AS cites FROM a JOIN orders ON o_orderkey = paper)"

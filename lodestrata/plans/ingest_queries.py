@@ -34,13 +34,14 @@ def validating_insert(spark, d):
 
 
 @register("dedup_prefer_nonempty", """
-WITH r AS (SELECT 0 AS i, 'Doi' || (doc_id % 400) AS doi, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS abstract, n_chars FROM documents WHERE doc_id < 300 UNION ALL SELECT 1, 'DOI' || (doc_id % 400), source, n_chars FROM documents WHERE doc_id BETWEEN 200 AND 350),
+WITH r AS (SELECT 0 AS i, 'Doi' || (doc_id % 4000000) AS doi, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS abstract, n_chars FROM documents WHERE doc_id % 7 < 5 UNION ALL SELECT 1, 'DOI' || (doc_id % 4000000), source, n_chars FROM documents WHERE doc_id % 7 >= 4),
 n AS (SELECT *, row_number() OVER (PARTITION BY lower(doi) ORDER BY CAST(abstract = '' AS INTEGER), i, doi) AS rn FROM r WHERE lower(doi) NOT IN (SELECT 'doi' || doc_id FROM documents WHERE doc_id % 5 = 0)) SELECT doi, abstract, n_chars FROM n WHERE rn = 1 AND abstract <> ''""")
 def dedup_prefer_nonempty(spark, d):
+    """Two sources that overlap, each a share of the documents by a rule."""
     docs = load(spark, d, "documents")
-    num = (F.col("doc_id") % 400).cast("string")
-    a = docs.filter("doc_id < 300").select(F.concat(F.lit("Doi"), num).alias("doi"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("abstract"), "n_chars")
-    b = docs.filter("doc_id BETWEEN 200 AND 350").select(F.concat(F.lit("DOI"), num).alias("doi"), F.col("source").alias("abstract"), "n_chars")
+    num = (F.col("doc_id") % 4000000).cast("string")
+    a = docs.filter("doc_id % 7 < 5").select(F.concat(F.lit("Doi"), num).alias("doi"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("abstract"), "n_chars")
+    b = docs.filter("doc_id % 7 >= 4").select(F.concat(F.lit("DOI"), num).alias("doi"), F.col("source").alias("abstract"), "n_chars")
     have = docs.filter("doc_id % 5 = 0").select(F.concat(F.lit("doi"), F.col("doc_id").cast("string")).alias("doi"))
     return S.discover([a, b], have, "doi", "abstract", "n_chars").select("doi", "abstract", "n_chars")
 

@@ -47,12 +47,20 @@ def viewfree_candidates(spark, d):
     return a.join(b, on & (F.col("a_p_brand") != F.col("b_p_brand"))).select("a_id", "b_id")
 
 
-@register("opposing_cues", "SELECT event_id, CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 2 ELSE 0 END AS score FROM events")
+_CUE_WORDS = {side: [w for family in P.OPPOSING for w in family[side]] for side in (0, 1)}
+
+
+@register("opposing_cues", f"""
+WITH w AS (SELECT doc_id, source, regexp_extract_all(regexp_replace(lower(text || ' ' || CASE doc_id % 4 WHEN 0 THEN '{P.OPPOSING[0][0][0]}' WHEN 1 THEN '{P.OPPOSING[0][1][0]}' WHEN 2 THEN '{P.OPPOSING[1][0][0]} {P.OPPOSING[0][1][0]}' ELSE '' END), '[^a-z0-9_+-]', ' ', 'g'), '[a-z][a-z0-9_+-]*') AS w FROM documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, {' + '.join(f"CAST((list_has_any(a.w, {list(x)!r}) AND list_has_any(b.w, {list(y)!r})) OR (list_has_any(a.w, {list(y)!r}) AND list_has_any(b.w, {list(x)!r})) AS INTEGER)" for x, y in P.OPPOSING)} AS score FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
+SELECT a, b, score FROM p""")
 def opposing_cues(spark, d):
-    kind = F.col("event_type")
-    a = F.when(kind == "view", "A high yield").when(kind == "click", "an effective and beneficial step").otherwise("improved")
-    b = F.when(kind == "view", "The LOW yield.").when(kind == "click", "poor, detrimental").otherwise("nothing")
-    return load(spark, d, "events").select("event_id", P.cue_conflict(a, b).alias("score"))
+    """Neighbouring documents, with cue words put into three of four since the corpus has none."""
+    first, second = P.OPPOSING[0], P.OPPOSING[1]
+    more = F.when(F.col("doc_id") % 4 == 0, first[0][0]).when(F.col("doc_id") % 4 == 1, first[1][0]).when(F.col("doc_id") % 4 == 2, f"{second[0][0]} {first[1][0]}").otherwise("")
+    t = load(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower(F.concat_ws(" ", "text", more)), "[^a-z0-9_+-]", " ").alias("t"))
+    other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return t.join(other, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), P.cue_conflict(F.col("t"), F.col("u")).alias("score"))
 
 
 @register("stored_conflicts", "WITH c AS (SELECT event_id AS a_id, event_id + 9990 AS b_id, value FROM events WHERE event_id < 50) SELECT a_id, b_id, c.value, a.event_type AS a_event_type, b.event_type AS b_event_type FROM c LEFT JOIN events a ON a.event_id = a_id LEFT JOIN events b ON b.event_id = b_id ORDER BY value DESC, a_id LIMIT 30")
@@ -87,21 +95,21 @@ def jaccard_near_dupes(spark, d):
 
 @register("benchmark_overlap", "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM documents, benchmark WHERE contains(documents.text, benchmark.text) GROUP BY 1")
 def benchmark_overlap(spark, d):
-    """Documents that hold an item as it is: looked up by the item's first forty characters' words, then tested whole."""
-    items = load(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    first = lambda c: F.split(c, r"[ \n]+")
-    keyed = items.withColumn("key", F.array_join(F.slice(first(F.col("item")), 2, 4), " "))
-    w = load(spark, d, "documents").select("doc_id", "text", first(F.col("text")).alias("w")).filter(F.size("w") >= 4)
-    at = w.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    return at.join(keyed, "key").filter(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    """Documents that hold an item as it is."""
+    found = P.contained_items(load(spark, d, "documents"), load(spark, d, "benchmark"), "doc_id", "item_id")
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.countDistinct("doc").alias("n_docs"))
+
+
+_BITS32 = "list_transform(range(1, 33), lambda i: p_partkey * (1099511627791 * i))"
 
 
-@register("bit_tanimoto", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(bit_count(a.p_partkey & b.p_partkey)::DOUBLE / bit_count(a.p_partkey | b.p_partkey), 6) AS similarity FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 500 AND b.p_partkey < 500 AND bit_count(a.p_partkey & b.p_partkey)::DOUBLE / bit_count(a.p_partkey | b.p_partkey) >= 0.3")
+@register("bit_tanimoto", f"""
+WITH f AS (SELECT p_partkey, p_name, {_BITS32} AS x FROM part), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_sum([bit_count(a.x[i] & b.x[i]) FOR i IN range(1, 33)])::DOUBLE / list_sum([bit_count(a.x[i] | b.x[i]) FOR i IN range(1, 33)]) AS s FROM f a JOIN f b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey)
+SELECT a, b, round(s, 6) AS similarity FROM p WHERE round(s, 6) >= 0.5""")
 def bit_tanimoto(spark, d):
-    p = load(spark, d, "part").filter("p_partkey < 500")
-    a, b, on = P.self_pairs(p, ["p_name"], "p_partkey", [])
-    s = P.bit_tanimoto(F.col("a_id"), F.col("b_id"))
-    return a.join(b, on & (s >= 0.3)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(s, 6).alias("similarity"))
+    """Fingerprints of 2048 bits (32 longs), made from the key by a rule since the parts have none."""
+    bits = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.col("p_partkey") * (F.lit(1099511627791) * i))
+    return P.fingerprint_pairs(load(spark, d, "part").select("p_partkey", "p_name", bits.alias("bits")), "p_partkey", "bits", "p_name", 0.5)
 
 
 @register("greedy_match")
@@ -114,9 +122,16 @@ def greedy_match(spark, d):
     return P.greedy_match(scored.filter("score >= 0.65").select("doc", "gold", "found", "score"), "doc")
 
 
-@register("field_accuracy", "WITH p AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'wrong' ELSE 'correct' END AS verdict FROM lineitem) SELECT verdict, count(*) AS n FROM p GROUP BY 1")
+@register("field_accuracy", """
+WITH n AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'wrong' ELSE 'correct' END AS verdict FROM lineitem),
+t AS (SELECT p_name AS g, CASE p_partkey % 3 WHEN 0 THEN p_name || 's' WHEN 1 THEN substr(p_name, 1, CAST(greatest(1, length(p_name) * 7 // 10) AS INTEGER)) ELSE reverse(p_name) END AS f FROM part),
+r AS (SELECT 1 - levenshtein(g, f)::DOUBLE / greatest(length(g), length(f)) AS r FROM t)
+SELECT 'number' AS field, verdict, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'string', CASE WHEN r > 0.8 THEN 'correct' WHEN r > 0.5 THEN 'partial' ELSE 'wrong' END, count(*) FROM r GROUP BY 2""")
 def field_accuracy(spark, d):
     q = F.col("l_quantity")
     found = F.when(F.col("l_linenumber") % 3 == 0, q * 1.5).otherwise(q * 1.005)
-    v = P.field_accuracy(q.cast("string"), found.cast("string"), F.lit(0.0))
-    return load(spark, d, "lineitem").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    numbers = load(spark, d, "lineitem").select(F.lit("number").alias("field"), P.field_accuracy(q.cast("string"), found.cast("string"), F.lit(0.0)).alias("verdict"))
+    g, k = F.col("p_name"), F.col("p_partkey") % 3
+    said = F.when(k == 0, F.concat(g, F.lit("s"))).when(k == 1, F.substring(g, F.lit(1), F.greatest(F.lit(1), F.floor(F.length(g) * 7 / 10)).cast("int"))).otherwise(F.reverse(g))
+    strings = load(spark, d, "part").select(F.lit("string").alias("field"), P.field_accuracy(g, said, edit_ratio(g, said)).alias("verdict"))
+    return numbers.unionByName(strings).groupBy("field", "verdict").agg(F.count("*").alias("n"))

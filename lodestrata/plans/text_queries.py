@@ -23,10 +23,11 @@ def fold_marks(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(T.fold_marks(F.col("text")).cast("binary")).alias("folded"))
 
 
-@register("fold_nfkc", "SELECT doc_id, md5(translate(nfc_normalize(text), '', '')) AS folded FROM documents")
+@register("fold_nfkc", "SELECT doc_id, md5(nfc_normalize(text) || ' H2O x2 a-b -5 um find A1 ' || (doc_id % 10)) AS folded FROM documents")
 def fold_nfkc(spark, d):
-    """The corpus has no compatibility characters, so that NFKC gives NFC and folding changes nothing."""
-    return load(spark, d, "documents").select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
+    """Texts with compatibility characters, which the corpus lacks, after them."""
+    signs = F.concat(F.lit(" H\u2082O x\u00b2 a\u2013b \u22125 \u00b5m \ufb01nd \uff21\u2460 "), (F.col("doc_id") % 10).cast("string"))
+    return load(spark, d, "documents").select("doc_id", F.md5(T.fold(F.concat("text", signs)).cast("binary")).alias("folded"))
 
 
 @register("clean_words", f"""
@@ -80,7 +81,7 @@ SELECT x.a AS left_label, y.a AS right_label, x.a = y.a AS compatible FROM l x J
 def label_identity_guard(spark, d):
     """Every first word of a part name stands for an entity of its own: only equal ones may merge."""
     words = load(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a")).distinct()
-    table = {r["a"]: r["a"] for r in words.orderBy("a").limit(200).collect()}  # a vocabulary, not data
+    table = {r["a"]: r["a"] for r in words.collect()}  # the first words of names: a vocabulary, not data
     pairs = words.select(F.col("a").alias("left_label")).join(words.select(F.col("a").alias("right_label")), F.col("left_label") <= F.col("right_label"))
     return pairs.withColumn("compatible", T.compatible(F.col("left_label"), F.col("right_label"), table))
 

@@ -144,19 +144,19 @@ def valid_edges(edges: DataFrame, kinds: list[str], nodes: DataFrame, evidence:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the component. Minimum labels over undirected links, with a checkpoint each round."""
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    both = _cut(edges.union(edges.select("dst", "src")).distinct())
-    label = _cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")))
+    both = cut(edges.union(edges.select("dst", "src")).distinct())
+    label = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")))
     while True:
         near = both.join(label.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("m"))
         lower = near.join(label, "node").select("node", F.least("m", "root").alias("r"))
         jump = label.select(F.col("node").alias("r"), F.col("root").alias("rr"))
-        new = _cut(lower.join(jump, "r", "left").select("node", F.least("r", F.coalesce("rr", "r")).alias("root")))
+        new = cut(lower.join(jump, "r", "left").select("node", F.least("r", F.coalesce("rr", "r")).alias("root")))
         if new.join(label.withColumnRenamed("root", "old"), "node").filter("root <> old").isEmpty():
             return new
         label = new
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():

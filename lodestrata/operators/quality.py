@@ -135,3 +135,26 @@ def merge_groups(labels: DataFrame, label: str, key: Column) -> DataFrame:
     """(key, labels, id): labels of one key, where there are several; the id is a hash of the key."""
     g = labels.groupBy(key.alias("key")).agg(F.array_sort(F.collect_set(label)).alias("labels")).filter(F.size("labels") > 1)
     return g.withColumn("concept_id", F.substring(F.sha2("key", 256), 1, 16))
+
+
+def report(claims: DataFrame, model: str, deep: Column, verified: Column, checked: Column, field: str, least_deep: float, least_verified: float) -> DataFrame:
+    """A row for each model: claims, deep and shallow ones, verification rate among the checked, fields covered, flags.
+
+    Flags are `shallow` and `unverified`, where a share is below its least; comma-joined.
+    """
+    g = claims.groupBy(model).agg(F.count("*").alias("n"), F.count(F.when(deep, 1)).alias("deep"), F.count(F.when(checked, 1)).alias("checked"), F.count(F.when(checked & verified, 1)).alias("verified"), F.countDistinct(field).alias("fields"))
+    rate = F.when(F.col("checked") > 0, F.round(F.col("verified") / F.col("checked"), 6))
+    share = F.round(F.col("deep") / F.col("n"), 6)
+    flags = F.concat_ws(",", F.when(share < least_deep, "shallow"), F.when(F.coalesce(rate, F.lit(0.0)) < least_verified, "unverified"))
+    return g.select(model, "n", "deep", (F.col("n") - F.col("deep")).alias("shallow"), share.alias("deep_share"), "checked", rate.alias("verification_rate"), "fields", flags.alias("flags"))
+
+
+def venue_coverage(papers: DataFrame, venue: Column, year: Column, rules: list[tuple[str, str, int]], first: int, last: int) -> DataFrame:
+    """A row for each (label, tier) of the venue rules (pattern, label, tier; the first that matches): papers, years covered from first to last, and missing years."""
+    label, tier_ = F.lit("other"), F.lit(9)
+    for pattern, name, level in reversed(rules):
+        label, tier_ = F.when(venue.rlike(pattern), name).otherwise(label), F.when(venue.rlike(pattern), level).otherwise(tier_)
+    rows = papers.select(label.alias("label"), tier_.alias("tier"), year.alias("year")).filter(F.col("year").between(first, last))
+    g = rows.groupBy("label", "tier").agg(F.count("*").alias("n"), F.countDistinct("year").cast("int").alias("years"), F.min("year").alias("first"), F.max("year").alias("last"), F.collect_set("year").alias("_seen"))
+    gaps = F.array_sort(F.array_except(F.sequence(F.lit(first), F.lit(last)), "_seen"))
+    return g.select("label", "tier", "n", "years", "first", "last", F.array_join(gaps.cast("array<string>"), ",").alias("missing"))

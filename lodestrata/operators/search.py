@@ -133,12 +133,12 @@ def guided_recall(corpus: Corpus, terms: list[str], k: int) -> DataFrame:
     return rank.breadth(out, corpus.cites, k).select("paper", "score")
 
 
-def feedback_terms(corpus: Corpus, seeds: DataFrame, terms: list[str], k: int = 20, least: int = 2) -> DataFrame:
-    """(term, n): words that most seed documents hold, beyond the query's; shorter words count 1.5 times."""
+def feedback_terms(corpus: Corpus, seeds: DataFrame, terms: list[str], k: int = 20, least: int = 2, names: list[str] | None = None) -> DataFrame:
+    """(term, n): words that most seed documents hold, beyond the query's; names (of elements, say) count 4 times, other short words 1.5 times."""
     words = corpus.claims.join(F.broadcast(seeds.select(F.col("id").alias(corpus.id))), corpus.id, "left_semi")  # a cut result
     one = words.select(F.explode(F.array_distinct(tokens(F.col(corpus.text)))).alias("term")).filter((F.length("term") > 3) & ~F.col("term").isin(terms))
     n = one.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    weight = F.round(F.col("n") * F.when(F.length("term") <= 6, 1.5).otherwise(1.0), 6)
+    weight = F.round(F.col("n") * F.when(F.col("term").isin(list(names or [])), 4.0).when(F.length("term") <= 6, 1.5).otherwise(1.0), 6)
     return n.withColumn("weight", weight).orderBy(F.desc("weight"), "term").limit(k)
 
 

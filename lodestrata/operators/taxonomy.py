@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.operators.rank import top_per
 from lodestrata.functions.text import holds_label, jaccard, stem
 
 
@@ -17,12 +20,12 @@ def prefix_map(claims: DataFrame, id_col: str, path: Column, view: Column | None
     return each.select("view", "id", F.array_join(F.slice("s", F.lit(1), F.col("depth")), "/").alias("prefix"), "depth", F.size("s").alias("full_depth")).distinct()
 
 
-def rollup(members: DataFrame, sample: int = 100) -> DataFrame:
+def rollup(members: DataFrame, sample: int = 100, newest: bool = False) -> DataFrame:
     """Nodes from a prefix map: view, path, level, parent, own and total counts, smallest ids. No recursion: one aggregate.
 
-    The sample is the `sample` smallest ids; each map task cuts a node's rows to that many before the shuffle.
+    The sample is the `sample` smallest ids, or the largest (the newest) ones; each map task cuts a node's rows to that many before the shuffle.
     """
-    ordered = members.withColumn("rn", F.row_number().over(W.partitionBy("view", "prefix").orderBy("id")))
+    ordered = members.withColumn("rn", F.row_number().over(W.partitionBy("view", "prefix").orderBy(F.desc("id") if newest else "id")))
     nodes = members.groupBy("view", F.col("prefix").alias("path")).agg(
         F.max("depth").alias("level"), F.count("*").alias("total"), F.count(F.when(F.col("depth") == F.col("full_depth"), 1)).alias("own")
     )
@@ -30,6 +33,19 @@ def rollup(members: DataFrame, sample: int = 100) -> DataFrame:
     return nodes.join(first, ["view", "path"]).withColumn("parent", F.regexp_replace("path", "/?[^/]*$", ""))
 
 
+def append(nodes: DataFrame, added: DataFrame, sample: int = 100) -> DataFrame:
+    """Nodes (view, path, total, sample_ids) after claims (view, path, id) came to them: totals grow, the newest `sample` ids stay.
+
+    An id that a node's sample has already isn't counted again. Nodes that aren't there yet begin.
+    """
+    had = nodes.select("view", "path", F.explode("sample_ids").alias("id"))
+    fresh = added.select("view", "path", "id").distinct().join(had, ["view", "path", "id"], "left_anti")
+    grown = fresh.groupBy("view", "path").agg(F.count("*").alias("_n"))
+    ids = top_per(had.unionByName(fresh), ["view", "path"], [F.desc("id")], sample).groupBy("view", "path").agg(F.array_sort(F.collect_list("id")).alias("sample_ids"))
+    totals = nodes.select("view", "path", "total").join(grown, ["view", "path"], "full")
+    return totals.select("view", "path", (F.coalesce("total", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("total")).join(ids, ["view", "path"], "left")
+
+
 def with_children(nodes: DataFrame) -> DataFrame:
     kids = nodes.groupBy("view", F.col("parent").alias("path")).agg(F.count("*").alias("n_children"))
     return nodes.join(kids, ["view", "path"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
@@ -178,9 +194,10 @@ def node_matches(nodes: DataFrame, query_stems: list[str], weak: list[str], k: i
 
 def subtree(edges: DataFrame, root: str, depth: int = 4) -> DataFrame:
     """(node, level) below root in edges (parent, child), by a recursive query of bounded depth."""
-    edges.createOrReplaceTempView("lodestrata_edges")
+    name = f"lodestrata_edges_{uuid.uuid4().hex}"  # a view of its own, so that calls don't replace each other's
+    edges.createOrReplaceTempView(name)
     return edges.sparkSession.sql(
-        f"""WITH RECURSIVE t(node, level) AS (SELECT :root, 0 UNION ALL SELECT e.child, t.level + 1 FROM t JOIN lodestrata_edges e ON e.parent = t.node WHERE t.level < {int(depth)})
+        f"""WITH RECURSIVE t(node, level) AS (SELECT :root, 0 UNION ALL SELECT e.child, t.level + 1 FROM t JOIN {name} e ON e.parent = t.node WHERE t.level < {int(depth)})
         SELECT node, min(level) AS level FROM t GROUP BY node""",
         args={"root": root},
     )
@@ -211,6 +228,82 @@ def merge_by_name(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.first("node").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("keep"))
 
 
+def name_matches(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (node, name, level) of one level whose normalised names are equal, or one begins the other by whole words.
+
+    Blocks are a level and a name's first word, by which both kinds of names agree. A name with fewer words is met by
+    the beginnings of a longer one, so no block is compared pair by pair.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower("name"), "[^\\p{L}\\p{N}]+", " ")), " ")
+    n = nodes.select("node", "level", words.alias("w"))
+    n = n.withColumn("w", F.transform("w", lambda x: F.regexp_replace(x, "(?<=[^s])s$", "")))
+    own = n.select("level", F.array_join("w", " ").alias("key"), F.col("node").alias("a"))
+    begins = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.array_join(F.slice("w", F.lit(1), k), " "))
+    other = n.select("level", F.explode(begins).alias("key"), F.col("node").alias("b"))
+    return own.join(other, ["level", "key"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def merge_matches(nodes: DataFrame) -> DataFrame:
+    """(node, keep): groups that name_matches join become the node with most leaves, by name in ties; nodes (node, name, level, leaves)."""
+    from lodestrata.operators.graph import components
+
+    groups = components(name_matches(nodes))
+    own = nodes.join(groups, "node")
+    w = W.partitionBy("root").orderBy(F.desc("leaves"), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return own.select("node", F.first("node").over(w).alias("keep"))
+
+
+def merge_to_fixpoint(edges: DataFrame, nodes: DataFrame, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) after merges by name, round by round, until none is left or `rounds` are done.
+
+    nodes (node, name, level, leaves). A merge that would close a circle (the kept node is below the other) isn't made.
+    Edges are those between kept nodes, each once; kept nodes' leaves are sums.
+    """
+    from lodestrata.operators.graph import cut
+
+    for _ in range(rounds):
+        merged = merge_by_name(nodes).filter("node <> keep")
+        below = reach(edges, merged.select("node", "keep"))
+        merged = cut(merged.join(below, ["node", "keep"], "left_anti"))
+        if merged.isEmpty():
+            break
+        every = nodes.select("node").join(merged, "node", "left").select("node", F.coalesce("keep", "node").alias("keep"))
+        edges = cut(reparent(edges, every))
+        sums = nodes.join(every, "node").groupBy("keep").agg(F.sum("leaves").alias("leaves"))
+        nodes = cut(nodes.drop("leaves").join(sums.withColumnRenamed("keep", "node"), "node"))
+    return edges, nodes
+
+
+def reach(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFrame:
+    """The pairs (node, keep) of which one is above the other, within `depth` levels."""
+    step = edges.select(F.col("parent").alias("at"), F.col("child").alias("_next"))
+    walk = pairs.select("node", "keep", F.explode(F.array(F.struct(F.col("node").alias("at"), F.col("keep").alias("to")), F.struct(F.col("keep").alias("at"), F.col("node").alias("to")))).alias("x")).select("node", "keep", "x.*")
+    out = None
+    for _ in range(depth):
+        walk = walk.join(step, "at").select("node", "keep", F.col("_next").alias("at"), "to").distinct()
+        hit = walk.filter(F.col("at") == F.col("to")).select("node", "keep")
+        out = hit if out is None else out.union(hit)
+    return out.distinct()
+
+
+def settle_proposals(proposals: DataFrame, promote: int, fold: int) -> DataFrame:
+    """(path, total, fate) of proposed nodes (path, parent, total): promoted with `promote` members or more, folded into the parent with `fold` or more, else dropped.
+
+    What is folded is summed at the parent.
+    """
+    fate = F.when(F.col("total") >= promote, "promoted").when(F.col("total") >= fold, "folded").otherwise("dropped")
+    return proposals.withColumn("fate", fate).groupBy(F.when(F.col("fate") == "folded", F.col("parent")).otherwise(F.col("path")).alias("path"), "fate").agg(F.sum("total").alias("total"))
+
+
+def spread_fan_out(placed: DataFrame, most: int) -> DataFrame:
+    """(label, path): labels under a path beyond `most` go to path_more2, path_more3 ... by name, so that none has more.
+
+    placed (label, path). Moving what exceeds on, round by round, ends in the same places.
+    """
+    part = F.floor((F.row_number().over(W.partitionBy("path").orderBy("label")) - 1) / most) + 1
+    return placed.withColumn("_part", part).withColumn("path", F.when(F.col("_part") > 1, F.concat("path", F.lit("_more"), F.col("_part").cast("string"))).otherwise(F.col("path"))).drop("_part")
+
+
 def reparent(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """Edges between kept nodes, each once, no loops."""
     m = merged.select(F.col("node").alias("parent"), F.col("keep").alias("p"))

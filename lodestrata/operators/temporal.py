@@ -71,3 +71,23 @@ def tier(current: Column, total: Column, age_days: Column) -> Column:
     """The tier that a key graduates to by its requests and age: one step at a time; an empty one is tier_1."""
     now = F.coalesce(F.nullif(current, F.lit("")), F.lit("tier_1"))
     return F.when(now.isin("free", "tier_1") & (total >= 10_000) & (age_days >= 7), "tier_2").when((now == "tier_2") & (total >= 100_000) & (age_days >= 30), "tier_3").otherwise(now)
+
+
+def discovery(items: DataFrame, date: Column, as_of: Column, surprise: str, cites: str, days: int = 30) -> DataFrame:
+    """(items, basis, window_days): the surprising ones of the last `days` days, or, where none has a surprise, those of the smallest window that holds any, by citations.
+
+    The choice is one row; nothing else is compared with it.
+    """
+    age = F.datediff(as_of, date)
+    dated = items.withColumn("_age", age)
+    some = dated.agg(F.coalesce(F.max(((F.col("_age") <= days) & (F.col(surprise) > 0)).cast("int")), F.lit(0)).alias("_any"))
+    hot = dated.crossJoin(F.broadcast(some)).filter((F.col("_any") == 1) & (F.col("_age") <= days) & (F.col(surprise) > 0))
+    cold = progressive_window(dated.crossJoin(F.broadcast(some)).filter("_any = 0"), date, as_of)
+    hot = hot.select(*items.columns, F.lit("surprise").alias("basis"), F.lit(days).alias("window_days"), F.col(surprise).cast("double").alias("score"))
+    return hot.unionByName(cold.select(*items.columns, F.lit("citations").alias("basis"), F.col("window_days").cast("int").alias("window_days"), F.col(cites).cast("double").alias("score")))
+
+
+def usage_summary(events: DataFrame, ts: str, key: str, as_of: Column, days: int = 30) -> DataFrame:
+    """(key, requests, active_days, mean_per_day, busiest) of the last `days` days."""
+    per = events.filter((F.datediff(as_of, F.to_date(ts)) < days) & (F.datediff(as_of, F.to_date(ts)) >= 0)).groupBy(key, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+    return per.groupBy(key).agg(F.sum("n").alias("requests"), F.count("*").alias("active_days"), F.round(F.sum("n") / days, 6).alias("mean_per_day"), F.max("n").alias("busiest"))

@@ -108,8 +108,18 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, block: str, lea
 
 
 def numbered(ids: DataFrame, id_col: str) -> DataFrame:
-    """Row numbers for an id subset, as vector files need them: inner joined by the caller."""
-    return ids.select(id_col, (F.row_number().over(W.orderBy(id_col)) - 1).alias("row"))
+    """(id, row): row numbers from 0 in order of the id, as vector files need them.
+
+    Ids are put into ranges and numbered within each; a range begins at the number of ids in those before it, which is a
+    table of as many rows as there are ranges. Equal ids fall into one range.
+    """
+    from lodestrata.operators.graph import cut
+
+    parts = cut(ids.select(id_col).repartitionByRange(id_col).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = parts.withColumn("_own", F.row_number().over(W.partitionBy("_part").orderBy(id_col)) - 1)
+    return own.join(F.broadcast(before), "_part").select(id_col, (F.col("_before") + F.col("_own")).alias("row"))
 
 
 def token_overlap_score(query_terms: list[str], words: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lodestrata.functions import udf
+from lodestrata.functions import text, udf
 from lodestrata.operators import ingest as S
+from lodestrata.operators import taxonomy, vectors
 from lodestrata.plans.registry import register
+from lodestrata.scratch import scratch_dir
 from lodestrata.sources import readers, sinks
 from lodestrata.tables import load
 
@@ -165,3 +169,68 @@ def interval_join(spark, d):
 def query_intents(spark, d):
     q = F.element_at(F.array(*map(F.lit, ("papers by Ada Lovelace", "zinc vs copper", "how do metals melt", "metal fatigue"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return load(spark, d, "documents").select("doc_id", udf.apply("query_intent", q).alias("intent"))
+
+
+@register("cross_catalog_join", "SELECT event_type, lang, count(*) AS n FROM events JOIN documents ON doc_id = event_id GROUP BY ALL")
+def cross_catalog_join(spark, d):
+    """A database of its own for run-time tables beside the corpus, which is only read, joined in one statement."""
+    load(spark, d, "events").select("event_id", "event_type").createOrReplaceGlobalTempView("runtime_events")
+    load(spark, d, "documents").select("doc_id", "lang").createOrReplaceTempView("corpus_documents")
+    return spark.sql("SELECT event_type, lang, count(*) AS n FROM global_temp.runtime_events JOIN corpus_documents ON doc_id = event_id GROUP BY event_type, lang")
+
+
+@register("json_records_import", "SELECT 'dp' || (p_partkey % 50) AS doi, min(p_name) AS title, count(*) AS citation_count FROM part GROUP BY 1")
+def json_records_import(spark, d):
+    """A file for each record, read back by a given schema."""
+    p = load(spark, d, "part").groupBy(F.concat(F.lit("dp"), (F.col("p_partkey") % 50).cast("string")).alias("doi")).agg(F.min("p_name").alias("title"), F.count("*").cast("int").alias("citation_count"))
+    folder = f"{scratch_dir(spark)}/records-{uuid.uuid4().hex}"
+    p.repartition(50, "doi").write.option("maxRecordsPerFile", 1).json(folder)
+    return readers.json_files(spark, folder, readers.SOURCE, multi_line=False).select("doi", "title", F.col("citation_count").cast("long").alias("citation_count"))
+
+
+@register("batched_scan", "WITH r AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders) SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM r GROUP BY 1")
+def batched_scan(spark, d):
+    """Batches of a thousand rows in order of the key, numbered without bringing the table into one task."""
+    keys = vectors.numbered(load(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return keys.groupBy(F.floor((F.col("row") - F.lit(0)) / 1000).alias("batch")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@register("dataset_package", "SELECT 'claims' AS part, o_orderstatus AS by, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS checksum FROM orders GROUP BY 2 UNION ALL SELECT 'sources', '', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer")
+def dataset_package(spark, d):
+    """A package of JSON lines, partitioned where asked, and what a reader of it finds."""
+    folder = f"{scratch_dir(spark)}/package-{uuid.uuid4().hex}"
+    sinks.package({"claims": load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "sources": load(spark, d, "customer").select("c_custkey", "c_name")}, folder, {"claims": "o_orderstatus"})
+    claims = spark.read.schema("o_orderkey long, o_custkey long, o_orderstatus string").json(f"{folder}/claims")
+    sources = spark.read.schema("c_custkey long, c_name string").json(f"{folder}/sources")
+    one = claims.groupBy(F.lit("claims").alias("part"), F.col("o_orderstatus").alias("by")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("checksum"))
+    return one.unionByName(sources.groupBy(F.lit("sources").alias("part"), F.lit("").alias("by")).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("checksum")))
+
+
+@register("full_rebuild", """
+WITH c AS (SELECT DISTINCT substr(sha256('10.1/' || conv_id || ':' || role || ':' || turn), 1, 16) AS id, role || '/' || 'v' || (conv_id % 3) AS path FROM conversations), m AS (SELECT id, path FROM c UNION ALL SELECT id, split_part(path, '/', 1) FROM c)
+SELECT path, count(*) AS total, min(id) AS first_claim FROM m GROUP BY 1""")
+def full_rebuild(spark, d):
+    """From nested extractions to the tree: claims with ids, paths, prefix map and roll-up, published as a new version."""
+    c = load(spark, d, "conversations").select(F.concat(F.lit("10.1/"), F.col("conv_id").cast("string")).alias("doi"), F.struct(F.col("role").alias("claim_type"), F.col("turn").cast("string").alias("content"), F.lit("high").alias("confidence"), F.lit("q").alias("quote")).alias("c"), "conv_id")
+    raw = c.groupBy("doi").agg(F.collect_list("c").alias("cs")).select(F.upper("doi").alias("doi"), F.lit("m").alias("model"), F.struct(F.col("cs").alias("claims")).alias("data"))
+    meta = c.select("doi", F.concat(F.lit("v"), (F.col("conv_id") % 3).cast("string")).alias("venue")).distinct()
+    claims = readers.extractions(raw, meta).select("claim_id", F.lit("by_type").alias("view"), F.concat_ws("/", "claim_type", "venue").alias("path")).distinct()
+    claims = sinks.publish(claims, f"{scratch_dir(spark)}/claims-{uuid.uuid4().hex}", "1", "rebuilt_claims")
+    tree = taxonomy.rollup(taxonomy.prefix_map(claims, "claim_id", F.split("path", "/"), F.col("view")))
+    return tree.select("path", "total", F.get("sample_ids", F.lit(0)).alias("first_claim"))
+
+
+@register("query_variants", "SELECT unnest(['hot rings', 'warm ring', 'hot loops', 'hot ring']) AS variant, unnest(range(1, 5)) AS place")
+def query_variants(spark, d):
+    """Variants of a query in order: as it is, its pair's expansions, its words' and the singular."""
+    found = text.query_variants("hot rings", {"hot rings": ["warm ring"]}, {"rings": ["loops"]})
+    return spark.createDataFrame([(v, i) for i, v in enumerate(found, 1)], "variant string, place bigint")
+
+
+@register("pluggable_scorers", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 1.0 ELSE 0.0 END::DOUBLE AS relevance, CASE WHEN contains(p_name, 'ring') THEN 'cycle' ELSE '' END AS added, p_partkey % 2 = 0 AND length(split_part(p_name, ' ', 1)) >= 4 OR p_partkey % 2 = 0 AND length(split_part(p_name, ' ', 2)) >= 4 AS contradicts FROM part WHERE NOT contains(p_name, 'rings')")
+def pluggable_scorers(spark, d):
+    """Relevance, expansion and contradiction by the fall-backs of the registry."""
+    p, name = load(spark, d, "part").filter(~F.contains("p_name", F.lit("rings"))), F.col("p_name")
+    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("not "), name)).otherwise(name)
+    added = F.array_join(F.array_except(udf.apply("query_expand", name), F.split(name, " ")), ",")
+    return p.select("p_partkey", udf.apply("query_relevance", F.concat(F.lit("ring\t"), name)).alias("relevance"), added.alias("added"), udf.apply("claims_contradict", F.concat(name, F.lit("\t"), other)).alias("contradicts"))

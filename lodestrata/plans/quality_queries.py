@@ -118,13 +118,35 @@ def merge_groups(spark, d):
 @register("index_insights", """
 SELECT 'sparse' AS insight, p_brand || '/' || p_name AS subject, count(*)::DOUBLE AS value FROM part GROUP BY 2 HAVING count(*) <= 2
 UNION ALL SELECT 'dense', p_brand || '/' || p_name, count(*) FROM part GROUP BY 2 HAVING count(*) >= 5
-UNION ALL SELECT 'range', p_type, max(p_size) - min(p_size) FROM part GROUP BY 2 HAVING max(p_size) - min(p_size) > 20""")
+UNION ALL SELECT 'range', p_type, max(p_size) - min(p_size) FROM part GROUP BY 2 HAVING max(p_size) - min(p_size) > 20
+UNION ALL SELECT 'type', p_type, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'confidence', CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END, count(*) FROM part GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'source', 'Supplier ' || l_suppkey, count(*)::DOUBLE FROM lineitem GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
 def index_insights(spark, d):
     p = load(spark, d, "part")
     nodes = p.groupBy(F.concat_ws("/", "p_brand", "p_name").alias("subject")).agg(F.count("*").cast("double").alias("value"))
     kinds = nodes.withColumn("insight", F.when(F.col("value") <= 2, "sparse").when(F.col("value") >= 5, "dense")).filter("insight IS NOT NULL")
     spans = p.groupBy(F.col("p_type").alias("subject")).agg((F.max("p_size") - F.min("p_size")).cast("double").alias("value")).filter("value > 20").withColumn("insight", F.lit("range"))
-    return kinds.select("insight", "subject", "value").unionByName(spans.select("insight", "subject", "value"))
+    n = F.count("*").cast("double").alias("value")
+    types = p.groupBy(F.lit("type").alias("insight"), F.col("p_type").alias("subject")).agg(n)
+    trust = p.groupBy(F.lit("confidence").alias("insight"), F.when(F.col("p_size") > 30, "high").when(F.col("p_size") > 10, "medium").otherwise("low").alias("subject")).agg(n)
+    sources = load(spark, d, "lineitem").groupBy(F.lit("source").alias("insight"), F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("subject")).agg(n).orderBy(F.desc("value"), "subject").limit(10)
+    out = kinds.select("insight", "subject", "value").unionByName(spans.select("insight", "subject", "value"))
+    return out.unionByName(types).unionByName(trust).unionByName(sources)
+
+
+@register("model_report", """
+WITH d AS (SELECT source, n_chars > 2000 AS deep, quality, lang FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id), g AS (SELECT source, count(*) AS n, count(*) FILTER (deep) AS deep, count(quality) AS checked, count(*) FILTER (quality = 1) AS verified, count(DISTINCT lang) AS fields FROM d GROUP BY 1)
+SELECT source, n, deep, n - deep AS shallow, round(deep::DOUBLE / n, 6) AS deep_share, checked, CASE WHEN checked > 0 THEN round(verified::DOUBLE / checked, 6) END AS verification_rate, fields, concat_ws(',', CASE WHEN round(deep::DOUBLE / n, 6) < 0.3 THEN 'shallow' END, CASE WHEN coalesce(CASE WHEN checked > 0 THEN round(verified::DOUBLE / checked, 6) END, 0) < 0.7 THEN 'unverified' END) AS flags FROM g""")
+def model_report(spark, d):
+    rows = load(spark, d, "documents").join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return Q.report(rows, "source", F.col("n_chars") > 2000, F.col("quality") == 1, F.col("quality").isNotNull(), "lang", 0.3, 0.7)
+
+
+@register("venue_coverage", """
+WITH p AS (SELECT CASE WHEN regexp_matches(o_orderpriority, 'URGENT|HIGH') THEN 'leading' WHEN regexp_matches(o_orderpriority, '^3') THEN 'solid' ELSE 'other' END AS label, CASE WHEN regexp_matches(o_orderpriority, 'URGENT|HIGH') THEN 1 WHEN regexp_matches(o_orderpriority, '^3') THEN 2 ELSE 9 END AS tier, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 2003)
+SELECT label, tier, count(*) AS n, CAST(count(DISTINCT year) AS INTEGER) AS years, min(year) AS first, max(year) AS last, array_to_string(list_filter(range(1990, 2004), lambda y: NOT list_contains(list(DISTINCT year), y)), ',') AS missing FROM p GROUP BY ALL""")
+def venue_coverage(spark, d):
+    return Q.venue_coverage(load(spark, d, "orders"), F.col("o_orderpriority"), F.year("o_orderdate"), [("URGENT|HIGH", "leading", 1), ("^3", "solid", 2)], 1990, 2003)
 
 
 @register("data_signal_cte", "WITH s AS (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, list_sort(list(DISTINCT l_linestatus)) AS k FROM lineitem GROUP BY 1 HAVING count(*) >= 4) SELECT l_orderkey, n, CAST(r AS BIGINT) AS r, array_to_string(k, ',') AS kinds FROM s")

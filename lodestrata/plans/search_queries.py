@@ -481,6 +481,15 @@ def prf_terms(spark, d):
 _MANY = [["thing"], ["ther", "eron"], ["thed", "erin"]]
 
 
+@register("prf_named_terms", f"""
+WITH {bm25_sql(TERMS)}, s AS (SELECT id FROM bm25 ORDER BY score DESC, id LIMIT 30), t AS (SELECT unnest(list_distinct({WORDS})) AS term FROM documents JOIN s ON doc_id = id), n AS (SELECT term, count(*) AS n FROM t WHERE length(term) > 3 AND term NOT IN ('thing', 'ther', 'eron') GROUP BY 1 HAVING count(*) >= 2)
+SELECT term, n, round(n * CASE WHEN term IN ('that', 'there', 'erth') THEN 4::DOUBLE WHEN length(term) <= 6 THEN 1.5::DOUBLE ELSE 1 END, 6) AS weight FROM n ORDER BY weight DESC, term LIMIT 20""")
+def prf_named_terms(spark, d):
+    """Feedback in which named terms weigh four times."""
+    seeds = fts.top(ix(spark, d).bm25(TERMS), 30, "id")
+    return search.feedback_terms(corpus(spark, d), seeds, TERMS, names=["that", "there", "erth"])
+
+
 @register("multi_query_search", f"""
 WITH {', '.join(bm25_sql(t, f'mq{i}') for i, t in enumerate(_MANY))}, l AS ({' UNION ALL '.join(f"SELECT {i} AS list_no, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM mq{i} ORDER BY score DESC, id LIMIT 200)" for i in range(3))}),
 f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM l GROUP BY id), p AS (SELECT id, source AS paper, score, row_number() OVER (ORDER BY score DESC, id DESC) AS position FROM f JOIN documents ON doc_id = id), o AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY position) AS rn FROM p)

@@ -214,11 +214,17 @@ def shape_reclassification(spark, d):
     return load(spark, d, "events").select("event_id", F.when((F.col("event_type") == "view") & (k > 50), "property").otherwise(F.col("event_type")).alias("kind"))
 
 
-@register("data_view", "SELECT p_type AS l1, p_brand AS l2, count(*) AS n FROM part JOIN (SELECT l_partkey, max(l_extendedprice) AS v FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE v > 50000 GROUP BY ALL")
+@register("data_view", """
+WITH v AS (SELECT l_partkey, max(l_extendedprice) AS v FROM lineitem GROUP BY 1), c AS (SELECT p_partkey, lower(p_type) AS l1, replace(lower(p_brand), '#', '_') AS l2, split_part(p_name, ' ', 1) AS l3 FROM part JOIN v ON l_partkey = p_partkey WHERE v > 50000 AND p_size % 10 <> 0),
+n AS (SELECT l1, l2, l3, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l1, l2 ORDER BY n DESC, l3) AS rn FROM n) SELECT l1, l2, l3, n, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 200""")
 def data_view(spark, d):
-    """A view of the parts that carry a numeric signal."""
+    """Parts that are eligible and carry a numeric signal, at a canonical (L1, L2, L3), the 200 largest children of each node."""
+    from lodestrata.operators.rank import top_per
+
     v = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("v")).filter("v > 50000")
-    return load(spark, d, "part").join(v, "p_partkey", "left_semi").groupBy(F.col("p_type").alias("l1"), F.col("p_brand").alias("l2")).agg(F.count("*").alias("n"))
+    own = load(spark, d, "part").filter("p_size % 10 <> 0").join(v, "p_partkey", "left_semi")
+    canonical = [F.lower("p_type").alias("l1"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")).alias("l2"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("l3")]
+    return top_per(own.groupBy(*canonical).agg(F.count("*").alias("n")), ["l1", "l2"], [F.desc("n"), F.col("l3")], 200).select("l1", "l2", "l3", "n", "rn")
 
 
 @register("paper_view", "SELECT l_orderkey AS paper, count(DISTINCT l_partkey) AS n, min(l_partkey) AS first_claim FROM lineitem GROUP BY 1")
@@ -243,15 +249,57 @@ def duplicate_labels(spark, d):
     return load(spark, d, "part").groupBy(F.lower("p_name").alias("key")).agg(F.countDistinct("p_type").alias("n_parents")).filter("n_parents > 1")
 
 
-@register("near_synonym_labels", "WITH l AS (SELECT DISTINCT p_name AS l FROM part) SELECT a.l, b.l AS r, round(1 - levenshtein(a.l, b.l)::DOUBLE / greatest(length(a.l), length(b.l)), 6) AS score FROM l a JOIN l b ON split_part(a.l, ' ', 1) = split_part(b.l, ' ', 1) AND a.l < b.l WHERE 1 - levenshtein(a.l, b.l)::DOUBLE / greatest(length(a.l), length(b.l)) >= 0.5")
+@register("near_synonym_labels", """
+WITH l AS (SELECT DISTINCT p_name AS l FROM part), p AS (SELECT a.l, b.l AS r, greatest(1 - levenshtein(a.l, b.l)::DOUBLE / greatest(length(a.l), length(b.l)), len(list_intersect(string_split(a.l, ' '), string_split(b.l, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.l, ' '), string_split(b.l, ' '))))) AS s FROM l a JOIN l b ON split_part(a.l, ' ', 1) = split_part(b.l, ' ', 1) AND a.l < b.l)
+SELECT l, r, round(s, 6) AS score, s >= 0.84 AS same FROM p WHERE s >= 0.6""")
 def near_synonym_labels(spark, d):
-    """Labels of a block (their first word) within an edit ratio."""
-    from lodestrata.functions.text import edit_ratio
+    """Labels of a block (their first word) by the larger of token and edit similarity; from 0.84 they count as the same."""
+    from lodestrata.functions.text import edit_ratio, jaccard
 
     a = load(spark, d, "part").select(F.col("p_name").alias("l"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("k")).distinct()
     b = a.select(F.col("l").alias("r"), "k")
-    score = edit_ratio(F.col("l"), F.col("r"))
-    return a.join(b, "k").filter((F.col("l") < F.col("r")) & (score >= 0.5)).select("l", "r", F.round(score, 6).alias("score"))
+    score = F.greatest(edit_ratio(F.col("l"), F.col("r")), jaccard(F.split("l", " "), F.split("r", " ")))
+    return a.join(b, "k").filter((F.col("l") < F.col("r")) & (score >= 0.6)).select("l", "r", F.round(score, 6).alias("score"), (score >= 0.84).alias("same"))
+
+
+@register("merge_matches", """
+WITH RECURSIVE n AS (SELECT DISTINCT p_name || CASE WHEN p_size % 3 = 0 THEN ' kits' WHEN p_size % 3 = 1 THEN 's' ELSE '' END AS node FROM part), k AS (SELECT node, regexp_replace(node, '([^s])s( |$)', '\\1\\2', 'g') AS key, length(node) AS leaves FROM n),
+e AS (SELECT a.node AS x, b.node AS y FROM k a JOIN k b ON a.node <> b.node AND (b.key = a.key OR starts_with(b.key, a.key || ' '))), s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), t AS (SELECT x AS node, x AS root FROM s UNION SELECT s.y, t.root FROM t JOIN s ON s.x = t.node), r AS (SELECT node, min(root) AS root FROM t GROUP BY node)
+SELECT r.node, first_value(r.node) OVER (PARTITION BY root ORDER BY leaves DESC, r.node) AS keep FROM r JOIN k ON k.node = r.node""")
+def merge_matches(spark, d):
+    """Names of one level that are equal but for a plural, or begin one another."""
+    end = F.when(F.col("p_size") % 3 == 0, " kits").when(F.col("p_size") % 3 == 1, "s").otherwise("")
+    n = load(spark, d, "part").select(F.concat("p_name", end).alias("node")).distinct()
+    return H.merge_matches(n.select("node", F.col("node").alias("name"), F.lit(1).alias("level"), F.length("node").alias("leaves")))
+
+
+@register("merge_to_fixpoint", f"""
+WITH {_NODES}, n AS (SELECT path, parent, lower(trim(regexp_extract(path, '[^/]*$'))) AS name, level, total FROM nodes), m AS (SELECT path, parent, level, first_value(path) OVER (PARTITION BY name ORDER BY level, total DESC, path) AS keep FROM n)
+SELECT DISTINCT coalesce(p.keep, m.parent) AS parent, m.keep AS child FROM m LEFT JOIN m p ON p.path = m.parent WHERE m.parent <> '' AND coalesce(p.keep, m.parent) <> m.keep""")
+def merge_to_fixpoint(spark, d):
+    """Rounds of merges by name over all levels, until no name is there twice."""
+    n = nodes(spark, d)
+    own = n.select(F.col("path").alias("node"), F.element_at(F.split("path", "/"), -1).alias("name"), "level", F.col("total").alias("leaves"))
+    return H.merge_to_fixpoint(n.filter("parent <> ''").select("parent", F.col("path").alias("child")), own)[0]
+
+
+@register("settle_proposals", f"WITH {_NODES}, f AS (SELECT path, parent, total, CASE WHEN total >= 8 THEN 'promoted' WHEN total >= 3 THEN 'folded' ELSE 'dropped' END AS fate FROM nodes WHERE level = 3) SELECT CASE WHEN fate = 'folded' THEN parent ELSE path END AS path, fate, CAST(sum(total) AS BIGINT) AS total FROM f GROUP BY ALL")
+def settle_proposals(spark, d):
+    return H.settle_proposals(nodes(spark, d).filter("level = 3").select("path", "parent", "total"), 8, 3)
+
+
+@register("node_append", f"""
+WITH {_NODES}, b AS (SELECT path, total FROM nodes), p AS (SELECT p_type || '/' || p_brand || '/' || p_name AS path, p_partkey AS id FROM part), m AS (SELECT p.id, path FROM p UNION ALL SELECT p.id, regexp_replace(path, '/[^/]*$', '') FROM p UNION ALL SELECT p.id, regexp_replace(path, '/.*$', '') FROM p),
+a AS (SELECT path, id + 1000000 AS id FROM m WHERE id % 5 = 0 AND length(path) - length(replace(path, '/', '')) = 2), u AS (SELECT path, count(*) AS n, max(id) AS newest FROM a GROUP BY 1)
+SELECT b.path, total + coalesce(n, 0) AS total, least(total + coalesce(n, 0), 100) AS held, coalesce(newest, (SELECT max(id) FROM m WHERE m.path = b.path)) AS newest FROM b LEFT JOIN u ON u.path = b.path""")
+def node_append(spark, d):
+    """Claims that come to leaves of a stored tree: counts grow, the newest hundred ids stay."""
+    p = load(spark, d, "part").select(F.lit("v").alias("view"), F.col("p_partkey").alias("id"), F.array("p_type", "p_brand", "p_name").alias("s"))
+    members = p.select("view", "id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("depth"), "s").select("view", "id", F.array_join(F.slice("s", F.lit(1), F.col("depth")), "/").alias("prefix"), "depth", F.lit(3).alias("full_depth"))
+    tree = H.rollup(members, newest=True).select("view", "path", "total", "sample_ids")
+    added = p.filter("id % 5 = 0").select("view", F.array_join("s", "/").alias("path"), (F.col("id") + 1_000_000).alias("id"))
+    out = H.append(tree, added)
+    return out.select("path", "total", F.size("sample_ids").cast("long").alias("held"), F.array_max("sample_ids").alias("newest"))
 
 
 @register("ancestor_redundancy", "WITH p AS (SELECT DISTINCT lower(p_type) AS t, p_name FROM part) SELECT t AS parent, p_name AS leaf FROM p WHERE list_contains(string_split(p_name, ' '), t)")
@@ -262,21 +310,18 @@ def ancestor_redundancy(spark, d):
 
 @register("spec_compile", """
 WITH a AS (SELECT DISTINCT p_name AS label, p_type AS l1 FROM part WHERE p_size % 2 = 0), b AS (SELECT DISTINCT p_name AS label, p_type AS l1 FROM part WHERE p_size % 2 = 1),
-g AS (SELECT a.label, a.l1 FROM a JOIN b USING (label, l1)), o AS (SELECT label, min(l1) AS l1 FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY l1 ORDER BY label) AS rn FROM o) SELECT label, CASE WHEN rn <= 10 THEN l1 ELSE l1 || '_more' END AS placed FROM r""")
+g AS (SELECT a.label, a.l1 FROM a JOIN b USING (label, l1)), o AS (SELECT label, min(l1) AS l1 FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY l1 ORDER BY label) AS rn FROM o) SELECT label, CASE WHEN rn <= 10 THEN l1 ELSE l1 || '_more' || CAST((rn - 1) // 10 + 1 AS BIGINT) END AS placed FROM r""")
 def spec_compile(spark, d):
-    """Labels that both reviews place alike, one place each, with what exceeds a node's fan-out set aside."""
-    from lodestrata.operators.rank import top_per
-
+    """Labels that both reviews place alike, one place each, with what exceeds a node's fan-out moved on until none does."""
     p = load(spark, d, "part").select(F.col("p_name").alias("label"), F.col("p_type").alias("l1"), "p_size")
     agreed = p.filter("p_size % 2 = 0").select("label", "l1").distinct().join(p.filter("p_size % 2 = 1").select("label", "l1").distinct(), ["label", "l1"])
     one = agreed.groupBy("label").agg(F.min("l1").alias("l1"))
-    ranked = top_per(one, "l1", [F.col("label")], 1_000_000)
-    return ranked.select("label", F.when(F.col("rn") <= 10, F.col("l1")).otherwise(F.concat("l1", F.lit("_more"))).alias("placed"))
+    return H.spread_fan_out(one.select("label", F.col("l1").alias("path")), 10).withColumnRenamed("path", "placed")
 
 
 @register("label_clusters")
 def label_clusters(spark, d):
-    """Greedy and dependent on order, so one task for each block of labels (a vocabulary); tests compare a plain loop."""
+    """Greedy and dependent on order, so one task for each block of labels (a vocabulary); a test compares a plain loop."""
     from lodestrata.operators.pairs import greedy_clusters
 
     counts = load(spark, d, "part").groupBy(F.col("p_type").alias("block"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("label")).agg(F.count("*").alias("n"))

@@ -105,3 +105,37 @@ def tier_graduation(spark, d):
     u = load(spark, d, "events").groupBy("user_id").agg((F.count("*") * 400).alias("total"), F.datediff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))).alias("age"))
     now = F.when(F.col("user_id") % 3 == 0, "free").when(F.col("user_id") % 3 == 1, "tier_1").otherwise("tier_2")
     return u.select("user_id", D.tier(now, F.col("total"), F.col("age")).alias("tier"))
+
+
+_FEED = """
+WITH m AS (SELECT CAST(max(ts) AS DATE) + {late} AS as_of FROM events), a AS (SELECT event_id, value, CASE WHEN event_type = 'error' THEN value * 10 ELSE 0 END AS surprise, date_diff('day', CAST(ts AS DATE), as_of) AS age FROM events, m), s AS (SELECT coalesce(bool_or(age <= 10 AND surprise > 0), false) AS found FROM a),
+b AS (SELECT *, CASE WHEN age <= 7 THEN 7 WHEN age <= 30 THEN 30 WHEN age <= 90 THEN 90 WHEN age <= 365 THEN 365 WHEN age <= 3650 THEN 3650 END AS b FROM a)
+SELECT event_id, 'surprise' AS basis, 10 AS window_days, round(surprise, 6) AS score FROM a, s WHERE found AND age <= 10 AND surprise > 0
+UNION ALL SELECT event_id, 'citations', CAST((SELECT min(b) FROM b) AS INTEGER), round(value, 6) FROM b, s WHERE NOT found AND ((SELECT min(b) FROM b) IS NULL OR b <= (SELECT min(b) FROM b))
+ORDER BY score DESC, event_id LIMIT 30"""
+
+
+def feed(spark, d, late):
+    e = load(spark, d, "events")
+    as_of = e.agg(F.date_add(F.max(F.to_date("ts")), late).alias("_m"))
+    rows = e.withColumn("surprise", F.when(F.col("event_type") == "error", F.col("value") * 10).otherwise(0.0)).crossJoin(F.broadcast(as_of))  # one row
+    found = D.discovery(rows, F.to_date("ts"), F.col("_m"), "surprise", "value", 10)
+    return found.select("event_id", "basis", "window_days", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "event_id").limit(30)
+
+
+@register("discovery_feed_surprise", _FEED.format(late=1))
+def discovery_feed_surprise(spark, d):
+    return feed(spark, d, 1)
+
+
+@register("discovery_feed_citations", _FEED.format(late=20))
+def discovery_feed_citations(spark, d):
+    """No surprise in the last days: the smallest window that holds any item, by citations."""
+    return feed(spark, d, 20)
+
+
+@register("usage_summary", "WITH m AS (SELECT CAST(max(ts) AS DATE) AS d FROM events), p AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events, m WHERE date_diff('day', CAST(ts AS DATE), d) < 20 GROUP BY ALL) SELECT user_id, CAST(sum(n) AS BIGINT) AS requests, count(*) AS active_days, round(sum(n) / 20.0::DOUBLE, 6) AS mean_per_day, max(n) AS busiest FROM p GROUP BY 1")
+def usage_summary(spark, d):
+    e = load(spark, d, "events")
+    last = e.agg(F.max(F.to_date("ts")).alias("_m"))
+    return D.usage_summary(e.crossJoin(F.broadcast(last)), "ts", "user_id", F.col("_m"), 20)  # last: one row

@@ -76,3 +76,27 @@ def joined_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, rig
 def digests(stream: DataFrame, subscriptions: DataFrame, key: str, ts: str, last: str) -> DataFrame:
     """Stream-static join: new items of subscriptions since their last notification."""
     return stream.join(subscriptions, key).filter(F.col(last).isNull() | (F.col(ts) > F.col(last)))
+
+
+def over_limits(stream: DataFrame, ts: str, key: str, tier: str, limits: dict[str, tuple[int, int]] = LIMITS, late: str = "10 minutes") -> DataFrame:
+    """Log of keys over their tier's limit in a minute that slides by ten seconds, or in a UTC day: (start, key, tier, kind, n, most).
+
+    A tier that isn't in limits has those of the first one.
+    """
+    first = next(iter(limits.values()))
+    most = lambda i: F.coalesce(F.create_map(*[F.lit(x) for t, v in limits.items() for x in (t, v[i])])[F.col(tier)], F.lit(first[i]))
+    minute = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 minute", "10 seconds").alias("w"), key, tier).agg(F.count("*").alias("n")).filter(F.col("n") > most(0)).select(F.col("w.start").alias("start"), key, tier, F.lit("minute").alias("kind"), "n", most(0).alias("most"))
+    day = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), key, tier).agg(F.count("*").alias("n")).filter(F.col("n") > most(1)).select(F.col("w.start").alias("start"), key, tier, F.lit("day").alias("kind"), "n", most(1).alias("most"))
+    return minute.unionByName(day)
+
+
+def after_marks(stream: DataFrame, marks: DataFrame, source: str, ts: str, mark: str) -> DataFrame:
+    """Items of each source after its own high-water mark; a source without one is new and gives all. marks (source, mark)."""
+    joined = stream.join(marks, source, "left")
+    return joined.filter(F.col(mark).isNull() | (F.col(ts) > F.col(mark))).drop(mark)
+
+
+def next_marks(items: DataFrame, marks: DataFrame, source: str, ts: str, mark: str) -> DataFrame:
+    """(source, mark) after a run: the newest item's time, or the old mark where nothing came."""
+    new = items.groupBy(source).agg(F.max(ts).alias("_new"))
+    return marks.join(new, source, "full").select(source, F.greatest("_new", mark).alias(mark))

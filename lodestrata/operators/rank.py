@@ -20,9 +20,16 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
-def citation_boost(scored: DataFrame, cites: Column, alpha: float = 1.0) -> DataFrame:
-    """score * (1 + alpha * ln(1 + c) / ln(2 + max c)) where c > 0; the maximum is one row."""
+def citation_boost(scored: DataFrame, cites: Column, alpha: float = 1.0, bounded: bool = False) -> DataFrame:
+    """score * (1 + alpha * ln(1 + c) / ln(2 + max c)) where c > 0; the maximum is one row.
+
+    With `bounded`, of a result that has been cut to a size, the maximum comes from a window in the same pass.
+    """
     df = scored.withColumn("_c", F.coalesce(cites, F.lit(0)).cast("double"))
+    if bounded:
+        df = df.withColumn("_m", F.max("_c").over(W.partitionBy()))
+        boosted = F.when(F.col("_c") > 0, F.col("score") * (1 + alpha * F.log1p("_c") / F.log(2 + F.col("_m")))).otherwise(F.col("score"))
+        return df.withColumn("score", F.round(boosted, 6)).drop("_c", "_m")
     most = df.agg(F.max("_c").alias("_m"))
     boosted = F.when(F.col("_c") > 0, F.col("score") * (1 + alpha * F.log1p("_c") / F.log(2 + F.col("_m")))).otherwise(F.col("score"))
     return df.crossJoin(F.broadcast(most)).withColumn("score", F.round(boosted, 6)).drop("_c", "_m")
@@ -81,8 +88,10 @@ def without_markers(df: DataFrame, text: Column, markers: list[str]) -> DataFram
     return df.filter(~F.coalesce(found, F.lit(False)))
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page with the total of all rows; the total is one row."""
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, bounded: bool = False) -> DataFrame:
+    """One page with the total of all rows; the total is one row, or with `bounded`, of a result cut to a size, a window in the same pass."""
+    if bounded:
+        return df.withColumn("total", F.count("*").over(W.partitionBy())).orderBy(*order).offset(offset).limit(limit)
     total = df.agg(F.count("*").alias("total"))
     return df.crossJoin(F.broadcast(total)).orderBy(*order).offset(offset).limit(limit)
 

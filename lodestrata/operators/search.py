@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens
 from lodestrata.operators import fts, rank, vectors
+from lodestrata.operators.graph import cut
 from lodestrata.operators.text_index import TextIndex
 
 
@@ -153,7 +154,7 @@ def search(corpus: Corpus, terms: list[str], query: list[float] | None = None, k
         sims = own.select("id", vectors.dot(F.col("_v"), vectors.literal(query)).alias("sim"))
         hits = hits.join(F.broadcast(sims), "id", "left").withColumn("score", F.round(F.col("score") + knobs.vector_weight * F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)), 6)).drop("sim")
     if corpus.cites is not None:
-        hits = rank.citation_boost(hits.join(corpus.cites, "paper", "left"), F.col("c"), knobs.alpha).drop("c")
+        hits = rank.citation_boost(hits.join(corpus.cites, "paper", "left"), F.col("c"), knobs.alpha, bounded=True).drop("c")
     if knobs.on.get("rerank"):
         pair = vectors.token_overlap_score(terms, tokens(F.col("_text")))
         order = rank.ranked(hits, F.desc("score"), F.col("id"), name="_r")
@@ -161,7 +162,7 @@ def search(corpus: Corpus, terms: list[str], query: list[float] | None = None, k
     if kind is not None:
         hits = hits.filter(F.col("kind") == kind)
     placed = rank.cap_stable(rank.ranked(hits.drop("_text"), F.desc("score"), F.col("id"), name="position"), "paper", "position", knobs.per_paper)
-    return rank.page(placed.select("place", "id", "paper", "kind", "score"), [F.col("place")], knobs.limit, knobs.offset)
+    return rank.page(placed.select("place", "id", "paper", "kind", "score"), [F.col("place")], knobs.limit, knobs.offset, bounded=True)
 
 
 def search_many(corpus: Corpus, queries: list[list[str]], knobs: Knobs | None = None) -> DataFrame:
@@ -183,7 +184,7 @@ def paper_recall(corpus: Corpus, title: str, terms: list[str], k: int, fusion: i
     The lists are title matches (twice), all terms, near terms, citations (twice), pairs of terms (so many of them), and
     each synonym in the place of its word beside every other term.
     """
-    papers = corpus.claims.groupBy(F.col(corpus.paper).alias("id")).agg(F.min(title).alias("title"))
+    papers = cut(corpus.claims.groupBy(F.col(corpus.paper).alias("id")).agg(F.min(title).alias("title")))  # every list reads it
     terms = list(dict.fromkeys(terms))
     scored = fts.bm25(papers, "id", "title", terms)
     by_score = lambda df, no: _list(fts.top(df, each, "id"), no, F.desc("score"), F.col("id"))
@@ -199,7 +200,7 @@ def paper_recall(corpus: Corpus, title: str, terms: list[str], k: int, fusion: i
     out = lists[0]
     for x in lists[1:]:
         out = out.unionByName(x)
-    boosted = rank.citation_boost(rank.fuse(out, fusion).join(cites, "id", "left"), F.col("c"), alpha)
+    boosted = rank.citation_boost(rank.fuse(out, fusion).join(cites, "id", "left"), F.col("c"), alpha, bounded=True)
     return boosted.select(F.col("id").alias("paper"), "score").orderBy(F.desc("score"), "paper").limit(k)
 
 

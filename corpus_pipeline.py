@@ -1,6 +1,11 @@
 """From raw documents to packed token sequences, in five stages, each of which sees all that the one before kept.
 
 Near copies are found on five-word shingles at a Jaccard similarity of 0.8.
+
+A null text counts as empty everywhere. Copies, near copies and leaks are dropped by id, so ids should be unique: of a
+repeated id all rows go or stay together. Rows with a null id are scored by the classifier like any other, and no later
+stage drops them. Ties between copies go to the smallest id. Empty tables give empty results, and stages carry further
+columns along, whatever they are called; only packing has columns of its own.
 """
 
 from __future__ import annotations

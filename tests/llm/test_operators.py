@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontam, exact_dedup, html_main, jaccard_join, licenses, packing, quality, secrets, toxicity, url_lists
+from lodestrata.llm.labelled import sample_labels
 from lodestrata.llm.runtime import table
 
 DOCS = "doc_id long, text string, label int, keep_id string, score string"
@@ -750,3 +751,68 @@ def test_lists_match_brute_force(spark, monkeypatch, limit):
     assert got == brute_lists(captures, entries)
     assert url_lists.evaluate(c.limit(0), e).collect() == []
     assert all(not r["blocked"] for r in url_lists.evaluate(c, e.limit(0)).collect())
+
+
+def test_fit_is_the_minimum():
+    """The Bradley-Terry weights against small steps in every direction from them."""
+    draw = np.random.default_rng(2)
+    y = np.repeat([0, 1], 80)
+    x = draw.normal(size=(160, quality._FEATURES)) + y[:, None] * np.linspace(0, 1, quality._FEATURES)
+    model = quality.fit(x, y, pairs=4000)
+    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    pick = np.random.default_rng(7)
+    a, b = pick.choice(np.flatnonzero(y == 1), 4000), pick.choice(np.flatnonzero(y == 0), 4000)
+    diff = z[a] - z[b]
+
+    def loss(w):
+        return np.log1p(np.exp(-(diff @ w))).sum() + 5.0 * (w**2).sum()  # a pair's loss is the same from either side; L2 10 / 2
+
+    least = loss(model["w"])
+    for _ in range(60):
+        assert loss(model["w"] + draw.normal(size=quality._FEATURES) * 0.01) >= least
+    s = quality.scores(model, x)
+    right = ((s >= quality.ACCEPT) == (y == 1)).sum()
+    assert all(((z @ model["w"] >= cut) == (y == 1)).sum() <= right for cut in z @ model["w"])
+
+
+def test_scores_match_plain_loops(spark, small, documents, texts):
+    """Scores of every document, computed one by one on the driver from the same models."""
+    labels = table(spark, small, "labels")
+    model = quality.train(documents, labels)
+    for r in quality.score_quality(documents, model).collect():
+        want = 1 / (1 + np.exp(-(model["slope"] * (np.clip((quality.features(texts[r["doc_id"]] or "") - model["mean"]) / model["scale"], -8, 8) @ model["w"] - model["cut"]) + np.log(0.7 / 0.3))))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    model = toxicity.train(documents, labels)
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        short, long = sorted((a, b), key=len)
+        if len(short) == len(long):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    def plain(word):
+        words, stems = model["words"], model["stems"]
+        if word in words:
+            return 0, words[word]
+        begun = [stems[word[:k]] for k in range(len(word), 0, -1) if word[:k] in stems]
+        if begun:
+            return 1, begun[0]
+        close = [w for t, w in words.items() if len(t) >= toxicity.FUZZY_LEAST and near(word, t)]
+        return (2, max(close)) if close else None
+
+    matcher = toxicity.Matcher(model["words"], model["stems"])
+    every = sorted({m for t in list(texts.values())[:80] for m in toxicity._WORD.findall((t or "").lower())} | {w[:-1] for w in model["words"]} | {w + "x" for w in model["words"]} | {s + "zz" for s in model["stems"]})
+    for word in every:
+        if word.isalpha():
+            assert matcher.lookup(word) == plain(word), word
+    for r in toxicity.score_toxicity(documents, model).collect():
+        want = 1 / (1 + np.exp(-np.clip(matcher.features(texts[r["doc_id"]] or "") @ model["w"], -40, 40)))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_clashing_labels_say_nothing(spark):
+    rows = [(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, None), (5, 7)]
+    got = sample_labels(spark.createDataFrame(rows, "doc_id long, quality int"), "quality", 1, 5)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (3, 0)]

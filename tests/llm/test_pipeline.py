@@ -54,3 +54,22 @@ def test_empty_corpus(spark, small, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         table(spark, small, t).filter(F.lit(False)).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark, small):
+    """Null and repeated ids, null, empty and long texts, and columns named like those the operators use."""
+    some = table(spark, small, "documents").limit(60)
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(None, "no id at all"), (None, None), (9001, None), (9002, ""), (9003, long), (9004, "twice"), (9004, "twice"), (9005, "one text"), (9005, "another text")]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = some.unionByName(odd)
+    for extra in ("class", "key", "root", "n", "keep_id", "component_id", "item_id", "hash", "norm", "y", "score"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, small)
+        if name == "packing":
+            assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+            continue
+        kept = {(r["doc_id"], r["text"]) for r in out.collect()}
+        assert out.columns == docs.columns
+        assert {(None, "no id at all"), (None, None), (9003, long), (9004, "twice")} <= kept

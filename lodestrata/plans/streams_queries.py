@@ -71,8 +71,7 @@ def stream_join(spark, d):
 @register("stream_incremental_ids", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def stream_incremental_ids(spark, d):
     """Vectors that aren't there yet, batch by batch: an anti join of a stream with a table."""
-    schema = spark.read.parquet(f"{d}/embeddings.parquet").schema
-    new = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d).select("vec_id")
+    new = W.table_stream(spark, d, "embeddings").select("vec_id")
     have = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("vec_id"))
     return W.replay(new.join(have, "vec_id", "left_anti"))
 

@@ -17,11 +17,11 @@ from lodestrata.scratch import scratch_dir
 LIMITS = {"anon": (100, 5_000), "tier1": (200, 20_000), "tier2": (500, 100_000), "tier3": (1_000, 500_000)}
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, ts: str) -> DataFrame:
-    """A table of the folder as a stream; time stamps without a zone become UTC times, as watermarks need."""
+def table_stream(spark: SparkSession, folder: str, name: str, ts: str | None = None) -> DataFrame:
+    """A table of the folder, one file or a folder of files, as a stream; time stamps without a zone become UTC times, as watermarks need."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")  # a stream takes one file by a pattern only
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 
 def scratch(spark: SparkSession) -> str:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import udf
 from lodestrata.operators import ingest, quality
+from lodestrata.plans import registry
 from lodestrata.sources import readers, sinks
+from lodestrata.streaming import streams
 
 
 def test_json_lines_keep_bad_rows(spark, tmp_path):
@@ -57,3 +59,12 @@ def test_scorers_in_sql(spark):
     udf.register_all(spark)
     assert spark.sql("SELECT query_normalise('The Suzuki coupling?') AS q").first()["q"] == "suzuki coupling"
     assert spark.createDataFrame([("zinc vs copper",)], "q string").select(udf.apply("query_decompose", F.col("q")).alias("p")).first()["p"] == ["zinc", "copper"]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    df = spark.range(20).selectExpr("id AS vec_id")
+    df.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(0, 20, 4).selectExpr("id AS doc_id").toPandas().to_parquet(tmp_path / "labels.parquet")
+    found = registry.queries()["stream_incremental_ids"](spark, str(tmp_path))
+    assert sorted(r["vec_id"] for r in found.collect()) == [i for i in range(20) if i % 4]
+    assert streams.replay(streams.table_stream(spark, str(tmp_path), "labels")).count() == 5

@@ -137,7 +137,9 @@ def answer_metrics(sentences: DataFrame, known: DataFrame, as_of: int) -> DataFr
 
     sentences (answer, pos, text, dois, inside), inside where the sentence stands in an evidence section; a specific
     sentence is grounded if it cites a known paper itself or stands in such a section after one that does. known (doi,
-    year). overlap is the largest share of an answer's citations that another answer has too.
+    year). overlap is the largest share of an answer's citations that another answer has too:
+    all of them where another answer cites the same papers, so only answers whose set of papers is their own are compared,
+    and with each set once.
     """
     cites = sentences.select("answer", "pos", F.explode("dois").alias("doi")).join(known, "doi", "left")
     per = cites.select("answer", "doi", "year").distinct().groupBy("answer").agg(F.count("*").alias("cited"), F.count("year").alias("existing"), F.round(F.avg(F.lit(as_of) - F.col("year")), 6).alias("recency"))
@@ -146,9 +148,12 @@ def answer_metrics(sentences: DataFrame, known: DataFrame, as_of: int) -> DataFr
     before = F.max("good").over(W.partitionBy("answer").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     marked = marked.withColumn("grounded", F.col("specific") & ((F.col("good") == 1) | F.col("inside") & (before == 1)))
     told = marked.groupBy("answer").agg(F.count(F.when(F.col("specific"), 1)).alias("specific"), F.count(F.when(F.col("grounded"), 1)).alias("grounded"))
-    own = cites.select("answer", "doi").distinct()
-    shared = own.join(own.select(F.col("answer").alias("other"), "doi"), "doi").filter("answer <> other").groupBy("answer", "other").agg(F.count("*").alias("n"))
-    most = shared.groupBy("answer").agg(F.max("n").alias("shared"))
+    own = cites.select("answer", "doi").dropna().distinct().groupBy("answer").agg(F.array_sort(F.collect_list("doi")).alias("dois"))
+    kinds = own.groupBy("dois").agg(F.count("*").alias("k"), F.min("answer").alias("kind"))
+    each = lambda x, name: x.select(F.col("kind").alias(name), F.explode("dois").alias("doi"))
+    shared = each(kinds.filter("k = 1"), "answer").join(each(kinds, "other"), "doi").filter("answer <> other").groupBy("answer", "other").agg(F.count("*").alias("n"))
+    alike = own.join(kinds.filter("k > 1").select("dois"), "dois").select("answer", F.size("dois").cast("long").alias("shared"))  # another answer has all of them
+    most = shared.groupBy("answer").agg(F.max("n").alias("shared")).unionByName(alike)
     out = told.join(per, "answer", "left").join(most, "answer", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select("answer", zero("cited").alias("cited"), zero("existing").alias("existing"), "specific", "grounded", F.when(F.col("specific") > 0, F.round(F.col("grounded") / F.col("specific"), 6)).alias("grounded_share"), "recency", F.when(F.col("cited") > 0, F.round(zero("shared") / F.col("cited"), 6)).alias("overlap"))

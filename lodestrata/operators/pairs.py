@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.operators.blocks import bit_overlaps
+
 # Opposing cue words.
 OPPOSING = (
     (("high", "increase", "increased", "increases", "enhance", "enhanced", "stable", "retain", "retained", "excellent", "superior", "effective", "efficient"), ("low", "decrease", "decreased", "decreases", "degrade", "degraded", "unstable", "lose", "lost", "poor", "inferior", "ineffective", "inefficient")),
@@ -109,22 +111,13 @@ def bit_tanimoto(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def fingerprint_tanimoto(a: Column, b: Column) -> Column:
-    """Tanimoto similarity of fingerprints, which are arrays of equally many longs."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
-    either = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
-    return F.when(either > 0, both / either).otherwise(0.0)
-
-
 def fingerprint_pairs(df: DataFrame, id_col: str, bits: str, block: str, least: float) -> DataFrame:
-    """(a, b, similarity) of a block. The numbers of bits bound the similarity, so they are tested before the fingerprints."""
-    n = F.aggregate(F.transform(bits, lambda x: F.bit_count(x)), F.lit(0), lambda s, x: s + x)
-    rows = df.select(F.col(id_col).alias("id"), F.col(bits).alias("bits"), F.col(block).alias("block"), n.alias("n"))
-    a = rows.select(F.col("id").alias("a"), "block", F.col("bits").alias("x"), F.col("n").alias("nx"))
-    b = rows.select(F.col("id").alias("b"), F.col("block").alias("block2"), F.col("bits").alias("y"), F.col("n").alias("ny"))
-    may = F.least("nx", "ny") >= least * F.greatest("nx", "ny")
-    pairs = a.join(b, (F.col("block") == F.col("block2")) & (F.col("a") < F.col("b")) & may)
-    return pairs.select("a", "b", F.round(fingerprint_tanimoto(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    """(a, b, similarity) of a block. Common bits are counted by matrix products of two parts of a block at a time."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(bits).alias("v"), F.col(block).alias("block"))
+    near = lambda both, either: both >= (least - 1e-6) * either  # noqa: E731  rounded and tested below
+    found = bit_overlaps(rows, near)
+    similar = F.round(F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(0.0), 6)
+    return found.select("a", "b", similar.alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_col: str, item_col: str, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ the load that other tokens alone give a counter, by three of that load's deviati
 corpus, whatever its size, and a rare token is in few documents beside it. Documents with equal sets are one
 class from the start. A key's classes are first linked with one pivot (a star: rows grow with the postings, not with
 their square), verified, and merged into components; only pairs of a key that are then still in different components are
-formed, in blocks of BLOCK rows of a key. Pairs are thinned by their sizes and by parity signatures, which bound the sets' difference from below, before
+formed, once for all keys with the same rows, in blocks of BLOCK rows of a key. Pairs are thinned by their sizes and by parity signatures, which bound the sets' difference from below, before
 they are verified. So a large group of near copies costs a star instead of all its pairs, and no link that could join two
 components is left out.
 """
@@ -37,6 +37,9 @@ SHINGLE_WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch, in SKETCH_CHUNKS rows per task; FAN_IN tasks' sketches are summed at a time.
 SKETCH, SKETCH_CHUNKS, FAN_IN = 1 << 20, 16, 64
 
+#: Longs of the parities that a key's rows carry (a power of two): sets of up to some 3,000 tokens that share little are told apart by 1024 bits.
+PARITY_LONGS = 16
+
 #: Bits of a signature at most.
 MOST_BITS = 1 << 16
 
@@ -109,8 +112,8 @@ def digest(tokens: np.ndarray) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Four longs; bit i is the parity of the number of tokens that fall on it."""
-    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
+    """PARITY_LONGS longs; bit i is the parity of the number of tokens that fall on it."""
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (64 * PARITY_LONGS - 1), minlength=64 * PARITY_LONGS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -166,8 +169,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
 
 
-_ROW = "part int, chunk int, counts binary, doc_id long, n long, class long, b0 long, b1 long, b2 long, b3 long, bits binary"
-_ROW_KINDS = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 7, pa.binary())
+_BITS = tuple(f"b{i}" for i in range(PARITY_LONGS))
+_ROW = f"part int, chunk int, counts binary, doc_id long, n long, class long, {', '.join(f'{b} long' for b in _BITS)}, bits binary"
+_ROW_KINDS = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * (3 + PARITY_LONGS), pa.binary())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     if seen:
         each = SKETCH // SKETCH_CHUNKS
         for i in range(SKETCH_CHUNKS):
-            row = (part, i, _packed(counts[i * each : (i + 1) * each]), *[None] * 8)
+            row = (part, i, _packed(counts[i * each : (i + 1) * each]), *[None] * (4 + PARITY_LONGS))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _ROW_KINDS, strict=True)], names)
 
 
@@ -303,9 +307,6 @@ def _may_link(n_a: Column, n_b: Column, bits_a: list[Column], bits_b: list[Colum
     return sizes & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-_BITS = ("b0", "b1", "b2", "b3")
-
-
 def _thinned(pairs: DataFrame, classes: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the threshold, written; none that is over it is lost."""
 
@@ -357,6 +358,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     return links
 
 
+def _open_keys(placed: DataFrame) -> DataFrame:
+    """(key, m) of the keys in which components still meet, one of all that hold the same rows (class, kind), m in number.
+
+    Such keys, of the tokens that the same sets share, would form the same pairs. Rows are compared by their number and
+    by sums of two 64-bit hashes, in halves so that they hold two billion rows.
+    """
+    halves = lambda h: (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(halves(F.xxhash64("class", "kind")) + halves(F.xxhash64(F.lit(1), "kind", "class")))]
+    keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), *sums).filter("x <> y")
+    return keys.groupBy("m", *[f"s{i}" for i in range(4)]).agg(F.min("key").alias("key"))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -384,8 +397,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = members.join(roots.select(F.col("node").alias("class"), "root").hint("shuffle_merge"), "class", "left")
     placed = written(placed.select("key", "kind", "class", F.coalesce("root", "class").alias("root")), "jaccard-placed")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y")
-    open_keys = written(open_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "jaccard-open-keys")
+    open_keys = written(_open_keys(placed).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "jaccard-open-keys")
     open_ = written(placed.join(open_keys.hint("shuffle_merge"), "key"), "jaccard-open")
     open_ = open_.join(classes.select("class", "n", *_BITS).hint("shuffle_merge"), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     blocked = written(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "jaccard-open")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,23 +89,52 @@ def similar_links(rows: DataFrame, least: float) -> DataFrame:
     return meetings(rows).groupBy(*_KEYS).applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def bit_overlaps(rows: DataFrame, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b, both, either), a < b: bits that both fingerprints of a block's pair have and that either has, where `may` (both, either) holds."""
+def _bit_sides(met: pa.Table) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, ids, values, values) of two parts, or twice of one, for each length of the arrays; arrays with a null say nothing."""
+    lengths, part = pc.list_value_length(met["v"]).to_numpy(), met["part"].to_numpy()
+    if any(c.flatten().null_count for c in met["v"].chunks):
+        lengths = np.where([None in v for v in met["v"].to_pylist()], -1, lengths)
+    for n in np.unique(lengths[lengths >= 0]):
+        sides = [met.filter(pa.array((lengths == n) & (part == met[c][0].as_py()))) for c in ("lo", "hi")]
+        if all(map(len, sides)):
+            a, b = (x["id"].combine_chunks() for x in sides)
+            v, w = (x["v"].combine_chunks().flatten().to_numpy().reshape(len(x), n) for x in sides)
+            yield a, b, v, w
+
+
+def bit_overlaps(rows: DataFrame, least: float, part: int = 4096, tile: int = 1024) -> DataFrame:
+    """(a, b, both, either), a < b: bits that both fingerprints of a block's pair have and that either has, where both is at least `least` of either.
+
+    Parts are larger than those of vectors, as bits are short and each row goes to every meeting of its part; `tile`
+    rows of either meet at a time, which bounds the memory.
+    """
 
     def bits(v: np.ndarray) -> np.ndarray:
-        return np.unpackbits(np.ascontiguousarray(v, "<i8").view(np.uint8), axis=1).astype(np.float32)  # counts to 2^24 are exact
-
-    def run(met: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        one = met["lo"].iloc[0] == met["hi"].iloc[0]
-        for a, b, v, w in _sides(met):
-            x, y = bits(v), bits(w)
-            both = (x @ y.T).astype(np.int64)
-            either = x.sum(1).astype(np.int64)[:, None] + y.sum(1).astype(np.int64)[None, :] - both
-            i, j = np.nonzero(may(both, either) & (a[:, None] < b[None, :] if one else a[:, None] != b[None, :]))
-            p, q = a[i], b[j]
-            out.append(pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p), "both": both[i, j], "either": either[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "both": [], "either": []})
+        return np.unpackbits(np.ascontiguousarray(v, "<i8").view(np.uint8), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = pa.Table.from_batches(list(batches))
+        one = met["lo"][0] == met["hi"][0]
+        for a, b, v, w in _bit_sides(met):
+            common = np.flatnonzero(bits(np.bitwise_or.reduce(v, axis=0)[None, :] & np.bitwise_or.reduce(w, axis=0)[None, :])[0])
+            y = bits(w)[:, common].astype(np.float32)  # counts to 2^24 are exact
+            n, m = (np.bitwise_count(x.view(np.uint64)).sum(1, dtype=np.int64) for x in (v, w))
+            ids, others = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+            # both >= least * (n + m - both), with room for 32-bit bounds; what is left is tested again
+            n_bound, m_bound = ((least / (1 + least) * x - 0.25 - 1e-6 * x).astype(np.float32) for x in (n, m))
+            for at in range(0, len(v), tile):
+                x = bits(v[at : at + tile])[:, common].astype(np.float32)
+                for to in range(at if one else 0, len(w), tile):
+                    both = x @ y[to : to + tile].T
+                    i, j = np.nonzero(both >= n_bound[at : at + tile, None] + m_bound[None, to : to + tile])
+                    both = both[i, j].astype(np.int64)
+                    i, j = i + at, j + to
+                    either = n[i] + m[j] - both
+                    p, q = ids[i], others[j]
+                    hit = np.flatnonzero((both >= least * either) & (p != q) & ((i < j) | (not one)))
+                    if len(hit):
+                        p, q, after = a.take(pa.array(i[hit])), b.take(pa.array(j[hit])), pa.array(p[hit] > q[hit], pa.bool_())
+                        yield pa.RecordBatch.from_arrays([pc.if_else(after, q, p), pc.if_else(after, p, q), pa.array(both[hit]), pa.array(either[hit])], ["a", "b", "both", "either"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return meetings(rows).groupBy(*_KEYS).applyInPandas(run, f"a {kind}, b {kind}, both long, either long")
+    return meetings(rows, part).groupBy(*_KEYS).applyInArrow(run, f"a {kind}, b {kind}, both long, either long")

@@ -114,8 +114,7 @@ def bit_tanimoto(a: Column, b: Column) -> Column:
 def fingerprint_pairs(df: DataFrame, id_col: str, bits: str, block: str, least: float) -> DataFrame:
     """(a, b, similarity) of a block. Common bits are counted by matrix products of two parts of a block at a time."""
     rows = df.select(F.col(id_col).alias("id"), F.col(bits).alias("v"), F.col(block).alias("block"))
-    near = lambda both, either: both >= (least - 1e-6) * either  # noqa: E731  rounded and tested below
-    found = bit_overlaps(rows, near)
+    found = bit_overlaps(rows, least - 1e-6)  # rounded and tested below
     similar = F.round(F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(0.0), 6)
     return found.select("a", "b", similar.alias("similarity")).filter(F.col("similarity") >= least)
 

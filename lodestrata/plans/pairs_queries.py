@@ -100,6 +100,14 @@ def benchmark_overlap(spark, d):
     return found.groupBy(F.col("item").alias("item_id")).agg(F.countDistinct("doc").alias("n_docs"))
 
 
+def low_product(key, factor: int):
+    """Low 64 bits of a long times a factor, where * would overflow. Both 32-bit halves of the factor are below 2^29."""
+    half = F.lit(0xFFFFFFFF)
+    low, high, few, many = key.bitwiseAND(half), F.shiftright(key, 32), factor & 0xFFFFFFFF, factor >> 32
+    first = low * F.lit(few)
+    return F.shiftleft(F.shiftright(first, 32) + high * F.lit(few) + low * F.lit(many), 32).bitwiseOR(first.bitwiseAND(half))
+
+
 _BITS32 = "list_transform(range(1, 33), lambda i: p_partkey * (1099511627791 * i))"
 
 
@@ -107,9 +115,13 @@ _BITS32 = "list_transform(range(1, 33), lambda i: p_partkey * (1099511627791 * i
 WITH f AS (SELECT p_partkey, p_name, {_BITS32} AS x FROM part), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_sum([bit_count(a.x[i] & b.x[i]) FOR i IN range(1, 33)])::DOUBLE / list_sum([bit_count(a.x[i] | b.x[i]) FOR i IN range(1, 33)]) AS s FROM f a JOIN f b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey)
 SELECT a, b, round(s, 6) AS similarity FROM p WHERE round(s, 6) >= 0.5""")
 def bit_tanimoto(spark, d):
-    """Fingerprints of 2048 bits (32 longs), made from the key by a rule since the parts have none."""
-    bits = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.col("p_partkey") * (F.lit(1099511627791) * i))
-    return P.fingerprint_pairs(load(spark, d, "part").select("p_partkey", "p_name", bits.alias("bits")), "p_partkey", "bits", "p_name", 0.5)
+    """Fingerprints of 2048 bits (32 longs), made from the key by a rule since the parts have none.
+
+    A long is the product's low 64 bits. The SQL has no result beyond a key of 262,143, where a product needs more.
+    """
+    part = load(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name").repartition("p_partkey")  # a file of a few MB would be one task
+    bits = F.array(*(low_product(F.col("p_partkey"), 1099511627791 * i) for i in range(1, 33)))
+    return P.fingerprint_pairs(part.withColumn("bits", bits), "p_partkey", "bits", "p_name", 0.5)
 
 
 @register("greedy_match")
